@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from equireach.llm.common import Scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: What a group keeps: most code points, then the smallest id.
-_BEST = F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("minus_id")))
+
+
+def _best() -> Column:
+    """What a group keeps: most code points, then the smallest id."""
+    return F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("minus_id")))
 
 
 def normalised(text: Column) -> Column:
@@ -33,7 +36,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bare = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("bare"))
     keys = scratch.table(bare.select("doc_id", "chars", hash_of(F.col("bare")).alias("hash"), F.sha2("bare", 256).alias("text_sha256")), "keys")
-    by_hash = keys.groupBy("hash").agg(_BEST.alias("best"), F.count(F.lit(1)).alias("n"))
+    by_hash = keys.groupBy("hash").agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
     shared = scratch.table(by_hash.where("n > 1").select("hash", (-F.col("best.minus_id")).alias("keep_id")), "shared")
 
     # the bytes of the row each shared hash would keep, once for each salt; its rows meet it there
@@ -54,7 +57,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
 
 def _decide(rows: DataFrame, key: list[str], salts: int) -> DataFrame:
     """Each row with its group's size and kept id; only groups of several rows go back by a join, dealt by salt."""
-    group = rows.groupBy(*key).agg(_BEST.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    group = rows.groupBy(*key).agg(_best().alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     group = group.select(*(F.col(k).alias(f"g_{k}") for k in key), (-F.col("best.minus_id")).alias("g_keep"), F.col("n").alias("g_n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("g_salt"))
     on = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int") == F.col("g_salt")
     for k in key:
