@@ -1,9 +1,9 @@
 """Exact duplicates with DataFrame functions only.
 
 Rows group by the 128-bit hash of their normalised text. Within a group of several rows the bytes themselves are
-compared with those of the row that the group would keep; rows that differ from it, hash collisions, form groups of
-their own by their whole bytes. Aggregation combines on the map side, so one text with a third of all rows is a few
-rows after that; the join that carries the kept row's bytes back deals a hot hash over `salts` tasks.
+compared: the smallest text of the group must be its largest. Rows of a hash for which it is not, collisions, group by
+their whole bytes. Aggregation combines on the map side, so one text with a third of all rows is a few rows after
+that; the join that carries a group's decision back deals a hot hash over `salts` tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from equireach.llm.common import Scratch
 
+#: The filter's size: 2**17 rows at most are broadcast, whatever the input.
+FILTER_WORDS = 17
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -25,7 +27,7 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, hash_of=F.md5) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 8, hash_of=F.md5) -> DataFrame:
     """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256).
 
     A null text counts as empty; empty texts are equal to each other. Of equal texts the one with the most code points
@@ -36,23 +38,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salt
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bare = rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("bare"))
     keys = scratch.table(bare.select("doc_id", "chars", hash_of(F.col("bare")).alias("hash"), F.sha2("bare", 256).alias("text_sha256")), "keys")
-    by_hash = keys.groupBy("hash").agg(_best().alias("best"), F.count(F.lit(1)).alias("n"))
-    shared = scratch.table(by_hash.where("n > 1").select("hash", (-F.col("best.minus_id")).alias("keep_id")), "shared")
-
-    # the bytes of the row each shared hash would keep, once for each salt; its rows meet it there
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    texts = bare.select("doc_id", hash_of(F.col("bare")).alias("hash"), "bare")
-    kept_bytes = texts.join(shared, (texts["hash"] == shared["hash"]) & (texts["doc_id"] == shared["keep_id"])).select(texts["hash"].alias("k_hash"), F.col("bare").alias("k_bare")).dropDuplicates(["k_hash"])
-    kept_bytes = kept_bytes.select("k_hash", "k_bare", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("k_salt"))
-    met = texts.join(shared.select(F.col("hash").alias("s_hash")), F.col("hash") == F.col("s_hash"), "left_semi").withColumn("salt", salt)
-    differ = met.join(kept_bytes, (F.col("hash") == F.col("k_hash")) & (F.col("salt") == F.col("k_salt"))).where("bare <> k_bare").select("doc_id", "hash", "bare")
-    collisions = scratch.table(differ, "collisions")
-
-    own = scratch.table(keys.join(collisions.select(F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash")).distinct(), (F.col("doc_id") == F.col("c_id")) & (F.col("hash") == F.col("c_hash")), "left_anti"), "own") if collisions.take(1) else keys
-    found = _decide(own, ["hash"], salts)
-    if own is keys:
-        return found
-    return found.unionByName(_decide(collisions.join(keys.select("doc_id", "chars", "text_sha256").distinct(), "doc_id"), ["hash", "bare"], salts))
+    shared = keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+    # the bytes of rows whose hash may be shared, told by a filter of fixed size: smallest and largest of each hash, combined
+    # on the map side, are equal unless the hash stands for different texts
+    word, bit = _word_and_bit(F.col("hash"))
+    words = shared.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(hash) & 63 AS INT))")).alias("bits"))
+    texts = bare.select(hash_of(F.col("bare")).alias("hash"), "bare")
+    met = texts.join(F.broadcast(words), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0)
+    different = met.groupBy("hash").agg(F.min("bare").alias("low"), F.max("bare").alias("high")).where("low <> high").select("hash")
+    collided = scratch.table(different, "collided")
+    if not collided.take(1):
+        return _decide(keys, ["hash"], salts)
+    own = keys.join(collided, "hash", "left_anti")
+    apart = bare.withColumns({"hash": hash_of(F.col("bare")), "text_sha256": F.sha2("bare", 256)}).join(collided, "hash", "left_semi")
+    return _decide(own, ["hash"], salts).unionByName(_decide(apart, ["hash", "bare"], salts))
+
+
+def _word_and_bit(hashed: Column) -> tuple[Column, Column]:
+    """Where a hash stands in a filter of 2**FILTER_WORDS words of 64 bits."""
+    h = F.xxhash64(hashed)
+    return F.shiftrightunsigned(h, 64 - FILTER_WORDS), F.expr("shiftleft(1L, CAST(xxhash64(hash) & 63 AS INT))")
 
 
 def _decide(rows: DataFrame, key: list[str], salts: int) -> DataFrame:
