@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from equireach.functions.clean import any_equals, existing
 from equireach.functions.geo import bd09_to_wgs84
 from equireach.functions.text import UNKNOWN_YEAR, format_time
+from equireach.operators.runs import prefix_sums
 
 YEARS = tuple(range(2014, 2026))
 ASSIGNED_YEARS = tuple(range(2014, 2025))
@@ -60,10 +61,11 @@ def to_wgs84(df: DataFrame, lng: str = "lng_bd08", lat: str = "lat_bd08") -> Dat
 
 
 def surrogate_key(df: DataFrame, name: str, order: Sequence[str], buckets: int = 64) -> DataFrame:
-    """df with name = 0, 1, ... in the order of columns that together are unique; numbered in buckets of the first one's hash
-    only if no order among rows is asked for (order = ())."""
+    """df with name = 0, 1, ... in the order of columns that together are unique, the first one a number: rows are dealt to
+    buckets of its values and numbered there. Without an order, rows are dealt by their hash."""
     if order:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
+        numbered = prefix_sums(df, [], list(order), {"_nth": F.lit(1.0)}, buckets if dict(df.dtypes)[order[0]] != "string" else 1)
+        return numbered.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_nth_to") - 1).cast("long").alias(name))
     bucket = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(buckets))
     dealt = df.withColumn("_b", bucket)
     before = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_b").alias("_of"), (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"))
