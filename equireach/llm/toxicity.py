@@ -2,8 +2,8 @@
 
 A text is the bag of the byte n-grams of its words, lower-cased and with word edges marked, hashed to `1 << BITS` rows of
 an embedding. Rows are averaged and a linear softmax follows; both are fitted together by Adam. An unseen misspelling
-shares most n-grams with the word it comes from. N-grams that more than `common` of the training texts hold say little
-and are left out of the average. Once fitted, a row's part in the logit is one number, so scoring sums a table.
+shares most n-grams with the word it comes from. N-grams that more than `common` of the training texts hold, and either
+class about as often as the other, say little and are left out of the average. Once fitted, a row's part in the logit is one number, so scoring sums a table.
 """
 
 from __future__ import annotations
@@ -66,25 +66,32 @@ def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, counts, where each text's begin): the distinct rows of each text."""
-    rows, counts, at = [], [], [0]
+    rows, counts, at = [np.empty(0, np.int32)], [np.empty(0, np.float32)], [0]
     for text in texts:
-        one = np.concatenate([i for i, _ in grams(pa.array([text]))])
-        r, c = np.unique(one[one != NONE], return_counts=True)
+        one = np.concatenate([i[i != NONE] for i, _ in grams(pa.array([text]))]).astype(np.int32)
+        r, c = np.unique(one, return_counts=True)
         rows.append(r)
-        counts.append(c)
+        counts.append(c.astype(np.float32))
         at.append(at[-1] + len(r))
-    return (np.concatenate(rows), np.concatenate(counts), np.array(at)) if rows else (np.empty(0, int), np.empty(0, int), np.array([0]))
+    rows = [np.concatenate(rows)]  # the parts go before the next array comes
+    counts = [np.concatenate(counts)]
+    return rows[0], counts[0], np.array(at)
 
 
-def fit(texts: list[str], labels: list[int], width: int = 4, epochs: int = 8, batch: int = 128, rate: float = 0.05, decay: float = 2e-4, common: float = 0.05, seed: int = 7) -> Model:
-    """The model of texts with labels 0 and 1; with no texts or one class, a model that says that class's share."""
+def fit(texts: list[str], labels: list[int], width: int = 4, epochs: int = 8, batch: int = 128, least_steps: int = 300, rate: float = 0.05, decay: float = 2e-4, common: float = 0.05, seed: int = 7) -> Model:
+    """The model of texts with labels 0 and 1, after epochs passes and least_steps steps; with no texts or one class, a model that says that class's share."""
     n, share = len(texts), (sum(labels) + 0.5) / (len(labels) + 1)
     counts = np.zeros(NONE + 1, np.float32)
     if not n or len(set(labels)) < 2:
         return Model(counts.copy(), counts, float(np.log(share / (1 - share))))
     rows, held, at = bags(texts)
-    counts[:NONE] = np.bincount(rows, minlength=NONE) <= max(3.0, common * n)
-    held = held * counts[rows]
+    positive = np.repeat(np.array(labels, bool), np.diff(at))
+    of = [(np.bincount(rows[positive == c], minlength=NONE) + 0.5) / (sum(x == c for x in labels) + 1) for c in (False, True)]
+    counts[:NONE] = (np.bincount(rows, minlength=NONE) <= common * n) | (np.maximum(*of) > 2 * np.minimum(*of))
+    del positive, of
+    kept = counts[rows] > 0
+    at = np.append(0, np.cumsum(kept))[at]
+    rows, held = rows[kept], held[kept]
     random = np.random.default_rng(seed)
     table = (random.standard_normal((NONE, width)) * 0.1).astype(np.float32)
     head = (random.standard_normal((width, 2)) * 0.5).astype(np.float32)
@@ -92,7 +99,7 @@ def fit(texts: list[str], labels: list[int], width: int = 4, epochs: int = 8, ba
     params, step = [table, head, bias], 0
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     y, scale = np.array(labels), np.float32(20.0)  # an average over some hundred n-grams is small: the softmax sees it enlarged
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // n))):
         order = random.permutation(n)
         for low in range(0, n, batch):
             mine = order[low : low + batch]
