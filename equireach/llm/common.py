@@ -6,12 +6,22 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch for functions that hold whole texts; a batch must fit beside its results.
-BATCH_ROWS = 1000
+#: Rows that a function which keeps something of every text takes at once.
+BATCH_ROWS = 2000
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,3 +86,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= _M2
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Words of 64 bits in a filter over ids: at most so many rows are broadcast, whatever the number of ids.
+FILTER_BITS = 16
+
+
+def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_col: str, name: str) -> DataFrame:
+    """df with a boolean `name`, true for every row whose column is among ids and for few others.
+
+    A filter of fixed size is broadcast, so that rows need no shuffle to be told apart; past some million ids it
+    lets more rows pass, and what follows must not depend on it.
+    """
+    h = F.xxhash64(F.col(column).cast("long"))
+    one = ids.select(F.xxhash64(F.col(id_col).cast("long")).alias("_h"))
+    words = one.groupBy(F.shiftrightunsigned("_h", 64 - FILTER_BITS).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS INT)))").alias("_bits"))
+    met = df.withColumn("_h", h).join(F.broadcast(words), F.shiftrightunsigned("_h", 64 - FILTER_BITS) == F.col("_word"), "left")
+    there = F.expr("coalesce(_bits & shiftleft(1L, CAST(_h & 63 AS INT)), 0L) <> 0")
+    return met.withColumn(name, there).drop("_h", "_word", "_bits")
+
+
+def without(df: DataFrame, column: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose column is not among ids, all columns; rows with a null stay. Only rows that may be among
+    them are shuffled."""
+    gone = ids.select(F.col(id_col).cast("long").alias("_gone")).where("_gone IS NOT NULL").distinct()
+    told = maybe_among(df, column, gone, "_gone", "_maybe")
+    doubtful = told.where("_maybe").drop("_maybe")
+    return told.where("NOT _maybe").drop("_maybe").unionByName(doubtful.join(gone, doubtful[column] == gone["_gone"], "left_anti"))

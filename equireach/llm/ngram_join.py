@@ -25,17 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch, mix64, partitions_for
+from equireach.llm.common import Scratch, maybe_among, mix64, partitions_for
+from equireach.llm.common import parts as in_parts
 from equireach.llm.components import components
 from equireach.llm.shingles import sets
 
 KEYS = 8
 SKETCH_BITS, SKETCH_PARTS = 20, 16
-FILTER_BITS = 26
+FILTER_BITS = 24
+#: Keys that a set must share with its centre to be compared with it, and the similarity in percent that keeps it there.
+VOTES, KIN = 3, 50
 #: Sets of a block of the product within a star, and members that meet one copy of their centre's text.
 BLOCK = 1024
 #: Bytes of packed prefixes that one task gathers, about.
-BUCKET_BYTES = 24_000_000
+BUCKET_BYTES = 12_000_000
 SIGNED = "doc_id long, n long, s1 long, s2 long, keys array<long>, part int, counts binary"
 _KEY_MULTIPLIERS = mix64(np.arange(101, 101 + KEYS, dtype=np.uint64)) | np.uint64(1)
 
@@ -53,7 +56,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document the size, two sums and the min-hash keys of its set; last, this task's counts of shingles."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("part", pa.int32()), ("counts", pa.binary())])
-    for batch in batches:
+    for batch in in_parts(batches):
         sizes, flat = [], []
         for h in sets(batch.column(1).fill_null("")):
             sizes.append(len(h))
@@ -109,7 +112,7 @@ def _centres(reps: DataFrame, scratch: Scratch) -> DataFrame:
     weighed = shared.join(weight, "rep")
     leaders = weighed.groupBy("k", "key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
     votes = shared.join(leaders, ["k", "key"]).groupBy("rep", (-F.col("best.minus")).alias("centre")).agg(F.count(F.lit(1)).alias("n"), F.max("best.weight").alias("weight"))
-    best = votes.groupBy("rep").agg(F.max(F.struct("n", "weight", (-F.col("centre")).alias("minus"))).alias("best"))
+    best = votes.where((F.col("n") >= VOTES) | (F.col("rep") == F.col("centre"))).groupBy("rep").agg(F.max(F.struct("n", "weight", (-F.col("centre")).alias("minus"))).alias("best"))
     return best.select("rep", (-F.col("best.minus")).alias("centre"))
 
 
@@ -119,7 +122,7 @@ COMPARED = "centre long, rep long, n long, n_centre long, overlap long, more bin
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (centre, salt) with the centre's text first: its set is held while its members pass."""
     key, base = None, None
-    for batch in batches:
+    for batch in in_parts(batches):
         out: list[list] = [[] for _ in range(7)]
         found = sets(batch.column("text").fill_null(""))
         for centre, salt, rep, h in zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "rep")), found, strict=True):
@@ -143,14 +146,16 @@ def compare(texts: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     # the salt of a member comes from its own id alone; a centre is copied to all salts that its count may use
     salted = salted.join(sizes, "centre").select(F.col("rep").alias("id"), "centre", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), "rep")
     heads = sizes.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("rep"))
-    rows = texts.join(salted.unionByName(heads), texts["doc_id"] == F.col("id")).select("centre", "salt", "rep", "text")
+    wanted = salted.unionByName(heads)
+    near = maybe_among(texts, "doc_id", pairs.select(F.explode(F.array("centre", "rep")).alias("id")), "id", "wanted").where("wanted")
+    rows = near.join(wanted, near["doc_id"] == wanted["id"]).select("centre", "salt", "rep", "text")
     return rows.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", F.col("rep").asc_nulls_first()).mapInArrow(_compare, COMPARED)
 
 
 def _within(percent: int):
     """Links of one block of a star: its far sets `b` against its sets `a`, from their differences to the centre."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         far, near = rows[rows["far"]], rows[~rows["far"]]
         pieces = [np.concatenate([_u64(m), mix64(_u64(s) ^ np.uint64(0xA5A5))]) for m, s in zip(near["more"], near["less"], strict=True)]
         owner = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
@@ -210,101 +215,94 @@ def _prefix(h: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     return h[order[: len(h) + (-percent * len(h) // 100) + 1]]
 
 
+def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A shingle's bucket, by the upper half of its hash, and below it the lower half: two shingles seldom share a key."""
+    low = np.uint64(32)
+    return (((h >> low) * np.uint64(buckets)) >> low) << low | (h & np.uint64(0xFFFFFFFF))
+
+
 def _pack_prefixes(sent, percent: int, buckets: int):
-    """(bucket, packed rows) of (shingle, star, least n, most n): each task has one for each star and shingle."""
-    row = np.dtype([("h", np.uint64), ("star", np.int64), ("least", np.uint32), ("most", np.uint32)])
+    """(bucket, lower halves, stars) of the prefixes: each batch has one row for each star and shingle, in order of star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, owner, sizes = [], [], []
-            for i, h in enumerate(sets(batch.column("text").fill_null(""))):
-                found.append(_prefix(h, sent.value, percent))
-                owner.append(i)
-                sizes.append(len(h))
+        for batch in in_parts(batches, 5000):
+            found = [_prefix(h, sent.value, percent) for h in sets(batch.column("text").fill_null(""))]
             if not found:
                 continue
-            lengths = [len(x) for x in found]
-            rows = np.empty(sum(lengths), row)
-            rows["h"] = np.concatenate(found)
-            rows["star"] = np.repeat(batch.column("star").to_numpy(zero_copy_only=False), lengths)
-            rows["least"] = rows["most"] = np.repeat(sizes, lengths)
-            rows = _merged(rows)
-            bucket = (rows["h"] % np.uint64(buckets)).astype(np.int64)
+            key = _keys(np.concatenate(found), buckets)
+            star = np.repeat(batch.column("star").to_numpy(zero_copy_only=False), [len(x) for x in found])
+            order = np.lexsort((key, star))
+            key, star = key[order], star[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (star[1:] != star[:-1]))[: len(key)]
+            key, star = key[once], star[once]
+            bucket = (key >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at].astype(np.int32)), "rows": pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())})
-
-    return run, row
+            key, star, bucket = key[order].astype(np.uint32), star[order], bucket[order]
+            at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+            columns = [pa.array([x.tobytes() for x in np.split(c, at[1:])] if len(c) else [], pa.binary()) for c in (key, star)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *columns], ["bucket", "low", "star"])
 
-
-def _merged(rows: np.ndarray) -> np.ndarray:
-    """One row for each (shingle, star), sorted."""
-    rows = rows[np.lexsort((rows["star"], rows["h"]))]
-    at = np.flatnonzero(np.append(True, (rows["h"][1:] != rows["h"][:-1]) | (rows["star"][1:] != rows["star"][:-1])))[: len(rows)]
-    out = rows[at].copy()
-    if len(rows):
-        out["least"], out["most"] = np.minimum.reduceat(rows["least"], at), np.maximum.reduceat(rows["most"], at)
-    return out
+    return run
 
 
 STAR_PAIRS = "h long, s long, t long"
 
 
-def _star_pairs(row: np.dtype, percent: int):
-    """(shingle, star, star) for shingles that several stars have in prefixes, where some of their sizes may fit."""
+def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, star, star) for keys that several stars have in prefixes. Rows come sorted by bucket."""
 
-    def of(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = _merged(np.frombuffer(b"".join(held), row))
-        at = np.flatnonzero(np.append(True, rows["h"][1:] != rows["h"][:-1]))[: len(rows)]
+    def of(bucket: int, held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        low, star = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint32, np.int64), strict=True))
+        order = np.lexsort((star, low))
+        low, star = low[order], star[order]
+        once = np.append(True, (low[1:] != low[:-1]) | (star[1:] != star[:-1]))[: len(low)]
+        low, star = low[once], star[once]
+        at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))[: len(low)]
+        size = np.diff(np.append(at, len(low)))
         out: list[list[np.ndarray]] = [[], [], []]
-        for a, b in zip(at, np.append(at[1:], len(rows)), strict=True):
-            if b - a < 2:
-                continue
-            least, most, star = (rows[c][a:b].astype(np.int64) for c in ("least", "most", "star"))
-            for i in range(b - a - 1):  # stars are in order
-                fit = i + 1 + np.flatnonzero((100 * most[i + 1 :] >= percent * least[i]) & (100 * most[i] >= percent * least[i + 1 :]))
-                if len(fit):
-                    for column, x in zip(out, (np.full(len(fit), rows["h"][a]).view(np.int64), np.full(len(fit), star[i]), star[fit]), strict=True):
-                        column.append(x)
-            if sum(map(len, out[0])) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "s", "t"])
-                out = [[], [], []]
-        if out[0]:
+        held_rows = 0
+        for a, n in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            i, j = np.triu_indices(n, 1) if n < 2000 else (None, None)
+            pairs = [(star[a : a + n][i], star[a : a + n][j])] if i is not None else ((np.full(n - 1 - k, star[a + k]), star[a + k + 1 : a + n]) for k in range(n - 1))
+            for s, t in pairs:
+                for column, x in zip(out, (np.full(len(s), bucket << 32 | int(low[a])), s, t), strict=True):
+                    column.append(x)
+                held_rows += len(s)
+                if held_rows > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "s", "t"])
+                    out, held_rows = [[], [], []], 0
+        if held_rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "s", "t"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, v) for batch in batches for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        for _, group in groupby(rows, lambda x: x[0]):
-            yield from of([v for _, v in group])
-
-    return run
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+    for bucket, group in groupby(rows, lambda x: x[0]):
+        yield from of(bucket, [x[1:] for x in group])
 
 
 def _bits(found: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits over shingles; of fixed size, whatever their number."""
-    low = 64 - FILTER_BITS
-    bits = found.groupBy(F.expr(f"shiftrightunsigned(h, {low + 6})").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(h, {low}) & 63 AS INT)))").alias("bits"))
+    """A filter of 2**FILTER_BITS bits over keys; of fixed size, whatever their number."""
+    drop = 32 - FILTER_BITS
+    bits = found.groupBy(F.expr(f"shiftright(h & 4294967295L, {drop + 6})").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftright(h, {drop}) & 63 AS INT)))").alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    got = bits.toPandas()
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    got = bits.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
 ENTRIES = "h long, star long, rep long, n long, first boolean"
 
 
-def _entries(sent, percent: int):
+def _entries(sent, percent: int, buckets: int):
     """The prefixes' rows that pass the filter; first: among those that the smaller of two alike sets must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, bits = sent.value
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[list] = [[], [], [], [], []]
             reps, stars = (batch.column(c).to_pylist() for c in ("doc_id", "star"))
             for i, h in enumerate(sets(batch.column("text").fill_null(""))):
-                p = _prefix(h, counts, percent)
-                bit = p >> np.uint64(64 - FILTER_BITS)
+                p = _keys(_prefix(h, counts, percent), buckets)
+                bit = (p & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - FILTER_BITS)
                 kept = np.flatnonzero(bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
                 if len(kept):
                     most = len(h) - int(needed(np.int64(len(h)), np.int64(len(h)), percent)) + 1
@@ -319,11 +317,10 @@ def _entries(sent, percent: int):
 def _cross_pairs(texts: DataFrame, counts: np.ndarray, entries: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (centre, rep) across stars that the bounds let pass. texts: (doc_id, star, text) of each distinct set."""
     context = texts.sparkSession.sparkContext
-    buckets = max(partitions_for(texts), entries * 24 // BUCKET_BYTES + 1)
-    pack, row = _pack_prefixes(context.broadcast(counts), percent, buckets)
-    packed = texts.mapInArrow(pack, "bucket int, rows binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = scratch.table(packed.mapInArrow(_star_pairs(row, percent), STAR_PAIRS), "met")
-    entry = scratch.table(texts.mapInArrow(_entries(context.broadcast((counts, _bits(met.select("h").distinct()))), percent), ENTRIES), "entries")
+    buckets = max(2 * partitions_for(texts), entries * 12 // BUCKET_BYTES + 1)
+    packed = texts.mapInArrow(_pack_prefixes(context.broadcast(counts), percent, buckets), "bucket int, low binary, star binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    met = scratch.table(packed.mapInArrow(_star_pairs, STAR_PAIRS), "met")
+    entry = scratch.table(texts.mapInArrow(_entries(context.broadcast((counts, _bits(met.select("h").distinct()))), percent, buckets), ENTRIES), "entries")
     a = entry.select(*(F.col(c).alias(f"a_{c}") for c in entry.columns))
     b = entry.select(*(F.col(c).alias(f"b_{c}") for c in entry.columns))
     pairs = met.join(a, (F.col("h") == F.col("a_h")) & (F.col("s") == F.col("a_star"))).join(b, (F.col("h") == F.col("b_h")) & (F.col("t") == F.col("b_star")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n")))
@@ -356,13 +353,20 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
 
     centres = scratch.table(_centres(reps, scratch), "centres")
     scratch.drop("keyed")
-    compared = compare(texts, centres.where("rep <> centre"), parts)
+    compared = compare(texts, centres.where("rep <> centre"), parts).where(100 * F.col("overlap") >= KIN * (F.col("n") + F.col("n_centre") - F.col("overlap")))
     compared = scratch.table(compared.withColumn("linked", 100 * F.col("overlap") >= percent * (F.col("n") + F.col("n_centre") - F.col("overlap"))), "compared")
     links = compared.where("linked").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     links = scratch.table(links.unionByName(_star_links(compared, percent)), "star-links")
 
-    starred = reps.join(centres, "rep", "left").select(F.col("rep").alias("r_id"), F.coalesce("centre", "rep").alias("star"))
-    starred = texts.join(starred, texts["doc_id"] == F.col("r_id")).select("doc_id", "star", "text")
+    # texts that are the only ones of their set and star need no join to be told so
+    stars = reps.join(compared.select("rep", "centre"), "rep", "left").where("copies > 1 OR centre IS NOT NULL").select(*one, F.col("rep").alias("r_id"), F.coalesce("centre", "rep").alias("star"))
+    stars = scratch.table(stars, "stars")
+    kin = scratch.table(rows.select("doc_id", *one).join(stars.select(*one), one, "left_semi").select("doc_id"), "kin")
+    told = maybe_among(texts, "doc_id", kin, "doc_id", "kin")
+    alone = told.where("NOT kin").select("doc_id", F.col("doc_id").alias("star"), "text")
+    others = reps.select("rep").join(stars.select(F.col("r_id").alias("rep"), "star"), "rep", "left").select(F.col("rep").alias("r_id"), F.coalesce("star", "rep").alias("star"))
+    met = told.where("kin").select("doc_id", "text")
+    starred = alone.unionByName(met.join(others, met["doc_id"] == others["r_id"]).select("doc_id", "star", "text"))
     entries = reps.agg(F.sum(F.floor((100 - percent) * F.col("n") / 100) + 1)).first()[0] or 0
     cross = scratch.table(_cross_pairs(starred, counts, int(entries), percent, scratch), "cross")
     more = compare(texts, cross, parts).where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("n_centre") - F.col("overlap")))
