@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equireach.llm.common import Scratch, without
 from equireach.llm.shingles import WIDTH, ordered, shingle_hashes
 
 BLOCKS, BLOCK_BITS = 8, 8
@@ -168,6 +169,6 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The rows of docs, all their columns, in which no benchmark item is found; rows with a null id stay if clean or not."""
-    hit = find(docs, benchmark, threshold).select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["found_id"], "left_anti")
+    """The rows of docs, all their columns, in which no benchmark item is found; rows with a null id stay."""
+    found = Scratch(docs.sparkSession, "decontaminate").table(find(docs, benchmark, threshold).select("doc_id").distinct(), "found")
+    return without(docs, "doc_id", found, "doc_id")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.tokens import _TIGHT, encoder, slices
+from equireach.llm.tokens import _TIGHT, SLICE_BYTES, encoder, slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -38,7 +38,7 @@ def frequent_lengths(docs: DataFrame, vocabulary: str, text_col: str, table_docs
     if not enc.fast:
         return {}
     seen: Counter = Counter()
-    for (text,) in docs.select(F.substring(text_col, 1, 4000)).limit(table_docs).collect():
+    for (text,) in docs.select(F.col(text_col).cast("string")).limit(table_docs).collect():
         if text and not _TIGHT.search(text):
             seen.update(text.split(" ")[1:-1])
     return {chunk: len(enc._later[chunk]) >> 2 for chunk, n in seen.most_common(table_size) if n > 1}
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         if not enc.fast:
             return np.array([enc.count(x) for x in texts.to_pylist()], np.int64)
         get, found = _Lengths(table.value, enc._later).__getitem__, []
-        for part in slices(texts):
+        for part in slices(texts, SLICE_BYTES):
             slow, starts, distinct, index = enc.chunks(part)
             lengths = np.fromiter(map(get, distinct), np.int64, len(distinct))[index]
             lengths[starts[:-1]] = [len(enc._first[x]) >> 2 if (x := distinct[i]) else 0 for i in index[starts[:-1]]]

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers, about 200 bytes each; those met later are encoded each time. Frequent chunks are met early.
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 300_000
 _TIGHT = re.compile(r" \s| $")
 #: The same for Arrow's engine, which knows white space as separators and these controls.
 _TIGHT_ARROW = r" [\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]| $"
@@ -141,7 +141,7 @@ class Encoder:
         if not self.fast:
             return [self.encode(x) for x in texts.to_pylist()]
         out: list[bytes] = []
-        for part in slices(texts):
+        for part in slices(texts, SLICE_BYTES):
             slow, starts, distinct, index = self.chunks(part)
             ids = pa.array(list(map(self._later.__getitem__, distinct)), pa.binary()).take(pa.array(index))
             ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
@@ -162,11 +162,11 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def slices(texts: pa.Array):
-    """The array in slices of about SLICE_BYTES; a longer text is a slice of its own."""
+def slices(texts: pa.Array, size: int = 1_500_000):
+    """The array in slices of about `size` bytes, which bounds what numpy holds beside them; a longer text is a slice of its own."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
         yield texts.slice(at, to - at)
         at = to
