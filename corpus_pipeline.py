@@ -11,28 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equireach.llm import decontaminate, exact_dedup, language, ngram_join, packing
-from equireach.llm.common import Scratch
+from equireach.llm.common import Scratch, without
 
 
-def _keep(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id is in kept; every column, once for each row."""
-    ids = kept.select(F.col(id_col).alias("kept_id"))
-    return docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")
+def _drop(docs: DataFrame, decided: DataFrame, where: str, id_col: str, name: str) -> DataFrame:
+    """The rows of docs but those whose id `where` holds for in decided; every column. Decisions are written first, as
+    they are read twice."""
+    gone = Scratch(docs.sparkSession, name).table(decided.where(where).select(F.col(id_col).alias("gone_id")), "gone")
+    return without(docs, "doc_id", gone, "gone_id")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects."""
-    return _keep(docs, language.of_documents(docs).where("accepted"), "id")
+    return _drop(docs, language.of_documents(docs), "NOT accepted", "id", "language-id")
 
 
 def exact_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest of equal texts, then the smallest id."""
-    return _keep(docs, exact_dedup.groups(docs).where("kept"), "doc_id")
+    return _drop(docs, exact_dedup.groups(docs), "NOT kept", "doc_id", "exact-dups")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each component of like texts."""
-    return _keep(docs, ngram_join.link(docs).where("doc_id = component_id"), "doc_id")
+    return _drop(docs, ngram_join.link(docs), "doc_id <> component_id", "doc_id", "near-dups")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
