@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch, without
+from equireach.llm.common import Scratch, parts, without
 from equireach.llm.shingles import WIDTH, ordered, shingle_hashes
 
 BLOCKS, BLOCK_BITS = 8, 8
@@ -156,7 +156,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(*sent.value, threshold)
-            for batch in batches:
+            for batch in parts(batches):
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, (words, h) in zip(batch.column(0).to_pylist(), ordered(batch.column(1).fill_null("")), strict=True):
                     for item, s, start in index.search(words, h) if len(words) else ():

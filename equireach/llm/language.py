@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch
+from equireach.llm.common import Scratch, parts
 from equireach.llm.tokens import slices
 
 BITS = 16
@@ -112,7 +112,7 @@ def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
     sent = spark.sparkContext.broadcast(Model(languages, [[strip(t) for t in got["text"][got["declared"] == x]] for x in languages])) if languages else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = pa.array([strip(t) for t in batch.column(5).to_pylist()], pa.string()) if markup else batch.column(5).fill_null("")
             logs, letters = sent.value.score(texts) if sent else (np.zeros((len(batch), 0)), np.zeros(len(batch)))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, max(1, logs.shape[1]), dtype=np.int32) if logs.shape[1] else np.zeros(len(batch) + 1, np.int32)), pa.array(logs.reshape(-1)))

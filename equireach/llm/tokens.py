@@ -162,7 +162,7 @@ def encoder(name: str) -> Encoder:
     return Encoder(name)
 
 
-def slices(texts: pa.Array, size: int = 1_500_000):
+def slices(texts: pa.Array, size: int = 500_000):
     """The array in slices of about `size` bytes, which bounds what numpy holds beside them; a longer text is a slice of its own."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
