@@ -19,12 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers, about 200 bytes each; those met later are encoded each time. Frequent chunks are met early.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 _TIGHT = re.compile(r" \s| $")
 #: The same for Arrow's engine, which knows white space as separators and these controls.
 _TIGHT_ARROW = r" [\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]| $"
 #: Bytes of text encoded at once: enough for chunks to repeat.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_500_000
 
 
 def vocabulary_path(name: str) -> str:
