@@ -410,6 +410,17 @@ def metadata_left_join_nullsafe(spark, sf_dir):
     return facilities.merge_metadata(base, sup)
 
 
+@query("""WITH sup AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE 'n' || (s_suppkey % 40) END AS name, s_suppkey AS "2014" FROM supplier),
+    base AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 'n' || (c_custkey % 50) END AS name, c_custkey AS "2014", c_name AS addr_x FROM customer)
+    SELECT sup.name, sup."2014", base."2014" AS "2014_base", addr_x, addr_x AS addr FROM sup LEFT JOIN base ON sup.name IS NOT DISTINCT FROM base.name""")
+def metadata_left_join_nullsafe_all(spark, sf_dir):
+    """metadata_left_join_nullsafe with every customer in the base."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    sup = _table(spark, sf_dir, "supplier").select(F.when(s % 10 != 0, F.concat(F.lit("n"), (s % 40).cast("string"))).alias("name"), s.alias("2014"))
+    base = _table(spark, sf_dir, "customer").select(F.when(c % 50 != 0, F.concat(F.lit("n"), (c % 50).cast("string"))).alias("name"), c.alias("2014"), F.col("c_name").alias("addr_x"))
+    return facilities.merge_metadata(base, sup)
+
+
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS key FROM customer")
 def surrogate_key(spark, sf_dir):
     return facilities.surrogate_key(_table(spark, sf_dir, "customer").select("c_custkey"), "key", ["c_custkey"])
