@@ -1,7 +1,9 @@
 """The catalogue's queries over whole tables, against SQL or a fixture."""
 
 import duckdb
+import pytest
 
+from equireach.functions import geo
 from equireach.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +27,26 @@ def test_metadata_join_takes_every_customer(spark):
     assert got == want
     met = {r["2014_base"] for r in catalogue.metadata_left_join_nullsafe_all(spark, SF).collect()}
     assert {101, 109} <= met
+
+
+def test_inverse_takes_every_customer(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["c_custkey"]: r for r in catalogue.QUERIES["gcj02_to_wgs84_all"](spark, sf).collect()}
+    points = {r["c_custkey"]: (r["lng"], r["lat"]) for r in catalogue._points(spark, sf).collect()}
+    assert set(got) == set(points)
+
+    def inside(p):
+        return 73.66 < p[0] < 135.05 and 3.86 < p[1] < 53.55
+
+    outside = edge = 0
+    for k, p in points.items():
+        image, back = geo.transform_point(*p), (got[k]["lng"], got[k]["lat"])
+        if not inside(image):
+            outside += not inside(p)
+            assert got[k]["converged"] and back == pytest.approx(image, abs=1e-6)
+        elif inside(p):
+            edge += not (74 <= p[0] <= 134 and 4.5 <= p[1] <= 53)
+            assert got[k]["converged"] and back == pytest.approx(p, abs=3e-6)
+        elif got[k]["converged"] and inside(back):
+            assert geo.transform_point(*back) == pytest.approx(image, abs=3e-6)
+    assert outside > 100 and edge > 10
