@@ -1,8 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 Four kinds of evidence about a text's language are multiplied: the likelihood of its byte trigrams, the language that
-its markup declares, the suffix of its address, and its host. The trigram model is fitted on a bounded sample of rows
-with a declared language. How far declarations and suffixes are to be believed, and the share of each language on a
+its markup declares, the suffix of its address, and its host. The trigram model has every declared language and is
+fitted on a bounded sample of each one's rows, counted on the executors. How far declarations and suffixes are to be believed, and the share of each language on a
 host, come from grouped aggregation over all rows; a host's shares are smoothed by those of its domain, and these by
 those of all rows.
 """
@@ -11,15 +11,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch, parts
+from equireach.llm.common import BATCH_ROWS, Scratch, parts
 from equireach.llm.tokens import slices
 
 BITS = 16
@@ -27,7 +25,13 @@ BITS = 16
 EVIDENCE = 60.0
 #: Rows' worth of the parent's shares in a host's and a domain's.
 PRIOR_ROWS = 20.0
-MOST_LANGUAGES = 32
+#: Scores, of a row for a language, that a task holds at once.
+SCORES = 1 << 21
+#: Rows of each language that the model is fitted on, however many languages share sample_rows.
+LEAST_ROWS = 50
+#: Codes that the standards have for texts in no, several or unknown languages.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
+COUNTS = "declared string, row int, n long"
 TEXT_ONLY = "id long, host string, domain string, suffix string, declared string, letters double, logs array<double>"
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint64)
 _LETTER = np.array([b >= 128 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
@@ -52,10 +56,15 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 class Model:
     """Log-probabilities of trigrams for each language."""
 
-    def __init__(self, languages: list[str], texts: list[list[str]]):
+    def __init__(self, languages: list[str], language: np.ndarray, row: np.ndarray, n: np.ndarray):
+        """language (an index), row and n: counts of the sample's trigrams."""
         self.languages = languages
-        counts = np.stack([np.bincount(trigrams(pa.array(t, pa.string()))[0], minlength=1 << BITS) if t else np.zeros(1 << BITS) for t in texts]) + 0.05
-        self.logs = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        self.logs = np.empty((len(languages), 1 << BITS), np.float32)
+        order = np.argsort(language, kind="stable")
+        ends = np.searchsorted(language[order], np.arange(len(languages) + 1))
+        for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            counts = np.bincount(row[order[a:b]], n[order[a:b]], 1 << BITS) + 0.05
+            self.logs[i] = np.log(counts / counts.sum())
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihoods by language, of at most EVIDENCE trigrams; the share of letters among non-space bytes)."""
@@ -75,6 +84,13 @@ def markup_language(html: Column) -> Column:
     return F.when(found != "", found)
 
 
+def code(declared: Column) -> Column:
+    """The language of a declaration, in lower case and without region or script; null where that is no code of two or
+    three letters, the only ones that standards have, or names no single language."""
+    found = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+    return F.when((found != "") & ~found.isin(*NO_LANGUAGE), found)
+
+
 def host(url: Column) -> Column:
     found = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     return F.when(found != "", found)
@@ -88,9 +104,10 @@ def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
 
     Evidence that is null or whose column is not given says nothing. A text is rejected when too few of its non-space
     bytes are letters (so null, empty and blank ones are) or no language reaches least_probability; its language is
-    then `und`. The model is fitted on sample_rows rows at most, those with the smallest hash of their id among rows
-    that declare a language; the MOST_LANGUAGES languages declared most often compete. If no row declares one, all are
-    rejected. Rows that repeat an id each get its result; an empty table gives an empty result.
+    then `und`. Every language that a row with text declares competes; declarations that are no code say nothing. The
+    model is fitted on about sample_rows rows, shared equally by the languages but at least LEAST_ROWS each, those with
+    the smallest hashes of id and text; a language with fewer gives all. If no row declares one, all are rejected. Rows
+    that repeat an id each get its result; an empty table gives an empty result.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "language")
     none = F.lit(None).cast("string")
@@ -101,18 +118,15 @@ def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
         where.alias("host"),
         F.regexp_extract(where, r"([^.]+\.[^.]+)$", 1).alias("domain"),
         F.when(url_host.contains("."), F.regexp_extract(url_host, r"\.([^.]+)$", 1)).alias("suffix"),
-        F.lower(declared if declared is not None else none).alias("declared"),
+        code(declared if declared is not None else none).alias("declared"),
         F.col(text_col).cast("string").alias("text"),
     )
-    languages = [r["declared"] for r in known.where("declared IS NOT NULL").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()]
-    languages.sort()
-    chosen = known.where(F.col("declared").isin(languages)).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    got = known.join(F.broadcast(chosen.withColumnRenamed("id", "c_id")), F.col("id") == F.col("c_id"), "left_semi").where(F.col("declared").isin(languages)).select("declared", "text").toPandas() if languages else pd.DataFrame({"declared": [], "text": []})
     strip = (lambda t: _MARKUP.sub(" ", t or "")) if markup else (lambda t: t or "")
-    sent = spark.sparkContext.broadcast(Model(languages, [[strip(t) for t in got["text"][got["declared"] == x]] for x in languages])) if languages else None
+    languages, counted = _sample(known, strip, sample_rows)
+    sent = spark.sparkContext.broadcast(Model(languages, *counted)) if languages else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, max(1, min(BATCH_ROWS, SCORES // max(1, len(languages))))):
             texts = pa.array([strip(t) for t in batch.column(5).to_pylist()], pa.string()) if markup else batch.column(5).fill_null("")
             logs, letters = sent.value.score(texts) if sent else (np.zeros((len(batch), 0)), np.zeros(len(batch)))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, max(1, logs.shape[1]), dtype=np.int32) if logs.shape[1] else np.zeros(len(batch) + 1, np.int32)), pa.array(logs.reshape(-1)))
@@ -124,41 +138,86 @@ def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
     return _fuse(scored, languages, least_letters, least_probability)
 
 
+def _sample(known: DataFrame, strip, sample_rows: int) -> tuple[list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The declared languages that have trigrams, sorted, and the trigrams' counts (language, row, n) over each one's sample.
+
+    A row is drawn by its hash against its language's share, so no task sees all rows of a language. What comes to
+    the driver is a count for each trigram and language, however long the texts.
+    """
+    nothing = [], (np.empty(0, np.int64),) * 3
+    full = known.where("declared IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    sizes = full.groupBy("declared").count().collect()
+    if not sizes:
+        return nothing
+    each = max(LEAST_ROWS, sample_rows // len(sizes))
+    span = float(1 << 64)
+    limits = known.sparkSession.createDataFrame([(r["declared"], min(1.0, each / r["count"]) * span - span / 2) for r in sizes], "c_declared string, most double")
+    at = F.xxhash64("id", "text").cast("double")
+    chosen = full.join(F.broadcast(limits), (F.col("declared") == F.col("c_declared")) & (at <= F.col("most"))).select("declared", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            texts = pa.array([strip(t) for t in batch.column(1).to_pylist()], pa.string())
+            names = np.array(batch.column(0).to_pylist(), object)
+            for name in set(names):
+                for part in slices(texts.filter(pa.array(names == name))):
+                    row, n = np.unique(trigrams(part)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(row, pa.int32()), pa.array(n, pa.int64())], ["declared", "row", "n"])
+
+    got = chosen.mapInArrow(count, COUNTS).groupBy("declared", "row").agg(F.sum("n").alias("n")).toArrow()
+    if not len(got):
+        return nothing
+    names = got.column("declared").combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    place = {x: i for i, x in enumerate(languages)}
+    index = np.array([place[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    return languages, (index, got.column("row").to_numpy().astype(np.int64), got.column("n").to_numpy())
+
+
 def _fuse(scored: DataFrame, languages: list[str], least_letters: float, least_probability: float) -> DataFrame:
-    """Posterior of each row from its text, declaration, suffix and host."""
+    """Posterior of each row from its text, declaration, suffix and host; arrays over languages, whatever their number."""
     top = F.array_max("logs")
     odds = F.transform("logs", lambda x: F.exp(x - top))
     total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    # the text's own posterior, one column a language; rows without letters say nothing
+    # the text's own posterior by language; rows without letters say nothing
     rows = scored.withColumn("p", F.transform(odds, lambda x: x / total)).withColumn("known", F.col("letters") >= least_letters)
-    sums = [F.sum(F.when(F.col("known"), F.col("p")[i]).otherwise(0.0)).alias(f"n{i}") for i in range(len(languages))]
+    said_by = F.transform("p", lambda x: F.when(F.col("known"), x).otherwise(0.0))
+
+    def sums(*keys: str) -> DataFrame:
+        """(keys, i, n): the posteriors' sums by language."""
+        there = rows.where(F.col(keys[0]).isNotNull()) if keys else rows
+        return there.select(*keys, F.posexplode(said_by).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("n"))
 
-    def counts(key: str) -> DataFrame:
-        return rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(*sums)
+    def arrays(long: DataFrame, name: str, *keys: str) -> DataFrame:
+        return long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("_l")).select(*keys, F.col("_l.n").alias(name))
 
-    every = rows.agg(*sums).first()
-    weight = [float(x or 0.0) for x in every]
-    base = [(w + 1.0) / (sum(weight) + len(languages)) for w in weight]
-    hosts = rows.where("host IS NOT NULL").groupBy(F.col("host").alias("host_key"), F.col("domain").alias("domain_key")).agg(*sums)
-    domains = hosts.groupBy("domain_key").agg(*(F.sum(f"n{i}").alias(f"d{i}") for i in range(len(languages))))
+    weight = np.zeros(len(languages))
+    for r in sums().collect():
+        weight[r["i"]] = r["n"] or 0.0
+    base = ((weight + 1.0) / (weight.sum() + len(languages))).tolist()
+    base_of = F.array(*(F.lit(b) for b in base))
 
-    def smooth(name: str, parent: list[Column]) -> list[Column]:
-        size = reduce(lambda a, b: a + b, (F.col(f"{name}{i}") for i in range(len(languages))))
-        return [(F.col(f"{name}{i}") + PRIOR_ROWS * parent[i]) / (size + PRIOR_ROWS) for i in range(len(languages))]
+    def smooth(own: Column, parent: Column) -> Column:
+        size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(own, parent, lambda x, y: (x + PRIOR_ROWS * y) / (size + PRIOR_ROWS))
 
-    domain_share = smooth("d", [F.lit(b) for b in base])
-    host_share = hosts.join(domains, "domain_key").select("host_key", F.array(*smooth("n", domain_share)).alias("host_share"))
+    by_host = sums("host", "domain")
+    hosts = arrays(by_host, "n", "host", "domain").select(F.col("host").alias("host_key"), F.col("domain").alias("domain_key"), "n")
+    domains = arrays(by_host.groupBy("domain", "i").agg(F.sum("n").alias("n")), "d", "domain").select(F.col("domain").alias("domain_key"), smooth(F.col("d"), base_of).alias("domain_share"))
+    host_share = hosts.join(domains, "domain_key").select("host_key", smooth(F.col("n"), F.col("domain_share")).alias("host_share"))
 
     def believed(key: str, name: str) -> DataFrame:
         """P(value | language) up to a factor of the value: P(language | value) / P(language), smoothed to 1."""
-        size = reduce(lambda a, b: a + b, (F.col(f"n{i}") for i in range(len(languages))))
-        return counts(key).select(f"{key}_key", F.array(*((F.col(f"n{i}") + PRIOR_ROWS * base[i]) / (size + PRIOR_ROWS) / base[i] for i in range(len(languages)))).alias(name))
+        return arrays(sums(key), "n", key).select(F.col(key).alias(f"{key}_key"), F.zip_with(smooth(F.col("n"), base_of), base_of, lambda x, b: x / b).alias(name))
 
     said, ended = believed("declared", "said"), believed("suffix", "ended")
     one = F.array(*(F.lit(1.0) for _ in languages))
     out = rows.join(host_share, F.col("host") == F.col("host_key"), "left").join(said, F.col("declared") == F.col("declared_key"), "left").join(ended, F.col("suffix") == F.col("suffix_key"), "left")
-    prior = F.coalesce("host_share", F.array(*(F.lit(b) for b in base)))
-    fused = F.array(*(F.col("p")[i] * prior[i] * F.coalesce("said", one)[i] * F.coalesce("ended", one)[i] for i in range(len(languages))))
+
+    def times(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: x * y)
+
+    fused = times(times(times(F.col("p"), F.coalesce("host_share", base_of)), F.coalesce("said", one)), F.coalesce("ended", one))
     out = out.select("id", "letters", "known", fused.alias("fused"))
     norm = F.aggregate("fused", F.lit(0.0), lambda a, x: a + x)
     best = F.array_max("fused") / norm
