@@ -7,6 +7,8 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,31 +16,46 @@ from equireach.llm import decontaminate, exact_dedup, language, ngram_join, pack
 from equireach.llm.common import Scratch, without
 
 
-def _drop(docs: DataFrame, decided: DataFrame, where: str, id_col: str, name: str) -> DataFrame:
-    """The rows of docs but those whose id `where` holds for in decided; every column. Decisions are written first, as
-    they are read twice."""
-    gone = Scratch(docs.sparkSession, name).table(decided.where(where).select(F.col(id_col).alias("gone_id")), "gone")
-    return without(docs, "doc_id", gone, "gone_id")
+#: The name of a row's key within a stage.
+ROW = "_pipeline_row"
+
+
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with ROW, a key for each row in the order of the ids, nulls last; written, as a key must not change."""
+    at = docs.withColumn("_pipeline_at", F.monotonically_increasing_id())
+    return scratch.table(at.orderBy(F.asc_nulls_last("doc_id"), "_pipeline_at").drop("_pipeline_at").withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _drop(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], where: str, id_col: str, name: str) -> DataFrame:
+    """The rows of docs but those whose id `where` holds for in what decide() gives; every column. Decisions are written
+    first, as they are read twice. Where a row has a null id, all rows are decided by keys of their own."""
+    scratch, key = Scratch(docs.sparkSession, name), "doc_id"
+    if docs.where(F.col("doc_id").cast("long").isNull()).take(1):
+        docs, key = _keyed(docs, scratch), ROW
+    rows = docs if key == "doc_id" else docs.withColumn("doc_id", F.col(ROW)).drop(ROW)
+    gone = scratch.table(decide(rows).where(where).select(F.col(id_col).alias("gone_id")), "gone")
+    return without(docs, key, gone, "gone_id").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects."""
-    return _drop(docs, language.of_documents(docs), "NOT accepted", "id", "language-id")
+    return _drop(docs, language.of_documents, "NOT accepted", "id", "language-id")
 
 
 def exact_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the longest of equal texts, then the smallest id."""
-    return _drop(docs, exact_dedup.groups(docs), "NOT kept", "doc_id", "exact-dups")
+    return _drop(docs, exact_dedup.groups, "NOT kept", "doc_id", "exact-dups")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each component of like texts."""
-    return _drop(docs, ngram_join.link(docs), "doc_id <> component_id", "doc_id", "near-dups")
+    return _drop(docs, ngram_join.link, "doc_id <> component_id", "doc_id", "near-dups")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage like a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _drop(docs, lambda rows: decontaminate.find(rows, benchmark).select("doc_id").distinct(), "TRUE", "doc_id", "decontaminate")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

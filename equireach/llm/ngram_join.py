@@ -334,20 +334,36 @@ def _cross_pairs(texts: DataFrame, counts: np.ndarray, entries: int, percent: in
     return counted.where(F.col("first") & (F.col("common") + F.greatest(rest("a_n"), rest("b_n")) >= least)).select(F.col("a_rep").alias("centre"), F.col("b_rep").alias("rep"))
 
 
+def _named(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int | None]:
+    """texts with an id of its own for each row with a null one, above all others, and the highest that was there; those
+    rows are written first, as texts are read several times. Without such rows texts as they are, and None."""
+    nameless = texts.where("doc_id IS NULL")
+    if not nameless.take(1):
+        return texts, None
+    highest = texts.agg(F.max("doc_id")).first()[0]
+    highest = 0 if highest is None else highest
+    last = (1 << 63) - 1
+    written = scratch.table(nameless.select((F.lit(last) - F.monotonically_increasing_id()).alias("doc_id"), "text"), "nameless")
+    if written.agg(F.min("doc_id")).first()[0] <= highest:
+        raise ValueError("ids reach so near 2**63 that rows with a null id cannot be told from them")
+    return texts.where("doc_id IS NOT NULL").unionByName(written), highest
+
+
 def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id).
 
     Two texts link when 100 * intersection >= percent * union of their sets of distinct 5-word shingles; component_id is
     the smallest id that links lead to. Null, empty and blank texts have no shingles and link with nothing; a text of
-    fewer than five words is one shingle. Ids are not null and name one text; a row that repeats one has its results.
-    An empty table gives an empty result; other columns are not read.
+    fewer than five words is one shingle. An id names one text; a row that repeats one has its results. Rows with a
+    null id link like others, each by itself; their doc_id stays null, and so is the component_id of a group in which no
+    row has an id. An empty table gives an empty result; other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "ngram-join")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts, highest = _named(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), scratch)
     parts = partitions_for(docs)
     signed = scratch.table(texts.mapInArrow(_sign, SIGNED), "signed")
     counts = shingle_counts(signed)
-    rows = signed.where("doc_id IS NOT NULL")
+    rows = signed.where("part IS NULL")
     one = ["n", "s1", "s2"]
     reps = scratch.table(rows.where("n > 0").groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "reps")
 
@@ -379,4 +395,5 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     for c in one:
         on = on & (F.col(c) == F.col(f"g_{c}"))
     out = rows.select("doc_id", *one).join(of, on, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out if highest is None else out.withColumns({c: F.when(F.col(c) <= highest, F.col(c)) for c in ("doc_id", "component_id")})

@@ -1,6 +1,7 @@
 import random
 
-from equireach.llm import language
+import corpus_pipeline
+from equireach.llm import language, ngram_join
 
 
 def test_every_declared_language_competes(spark):
@@ -29,3 +30,34 @@ def test_rare_language_is_in_the_sample(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {x["id"]: x["language"] for x in language.of_documents(docs, sample_rows=20).collect()}
     assert got[2000] == got[1000] == got[1001] == "xx" and got[5] == "en"
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+
+
+def linked(spark, rows):
+    found = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=repr)
+
+
+def test_null_ids_link(spark):
+    other = LONG.upper()[::-1]
+    rows = [(None, LONG + " seventeen"), (None, other), (None, other), (None, None), (8, LONG), (5, LONG), (9, "alone in this row by itself")]
+    assert linked(spark, rows) == sorted([(None, 13, 5), (8, 12, 5), (5, 12, 5), (None, 12, None), (None, 12, None), (None, 0, None), (9, 2, 9)], key=repr)
+    assert linked(spark, [(None, LONG), (None, LONG)]) == [(None, 12, None)] * 2
+
+
+def stage(spark, name, rows, sf="/root/testdata/sf0.001"):
+    docs = spark.createDataFrame([(i, t, "en", "a.example") for i, t in rows], "doc_id long, text string, lang string, source string")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs.repartition(3), sf)
+    assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+
+
+def test_pipeline_decides_rows_with_null_ids(spark):
+    item = max((r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()), key=len)
+    assert stage(spark, "language ID", [(None, "%%% 123"), (None, LONG), (3, LONG)]) == sorted([(None, LONG), (3, LONG)], key=repr)
+    assert stage(spark, "exact dedup", [(None, LONG), (None, LONG), (None, "x y"), (None, "x y"), (7, LONG)]) == sorted([(7, LONG), (None, "x y")], key=repr)
+    near = LONG + " seventeen"
+    assert stage(spark, "n-gram Jaccard join", [(None, near), (None, "x y"), (7, LONG)]) == sorted([(7, LONG), (None, "x y")], key=repr)
+    assert stage(spark, "benchmark decontamination", [(None, item), (None, LONG), (7, LONG)]) == sorted([(None, LONG), (7, LONG)], key=repr)
