@@ -28,9 +28,10 @@ def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _drop(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], where: str, id_col: str, name: str) -> DataFrame:
     """The rows of docs but those whose id `where` holds for in what decide() gives; every column. Decisions are written
-    first, as they are read twice. Where a row has a null id, all rows are decided by keys of their own."""
+    first, as they are read twice. Where an id is null or stands in several rows, all rows are decided by keys of their own."""
     scratch, key = Scratch(docs.sparkSession, name), "doc_id"
-    if docs.where(F.col("doc_id").cast("long").isNull()).take(1):
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("id IS NULL OR n > 1").take(1):
         docs, key = _keyed(docs, scratch), ROW
     rows = docs if key == "doc_id" else docs.withColumn("doc_id", F.col(ROW)).drop(ROW)
     gone = scratch.table(decide(rows).where(where).select(F.col(id_col).alias("gone_id")), "gone")
@@ -43,7 +44,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the longest of equal texts, then the smallest id."""
+    """Keeps the longest of equal texts, then the smallest id, then one of its rows."""
     return _drop(docs, exact_dedup.groups, "NOT kept", "doc_id", "exact-dups")
 
 

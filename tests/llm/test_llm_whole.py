@@ -61,3 +61,12 @@ def test_pipeline_decides_rows_with_null_ids(spark):
     near = LONG + " seventeen"
     assert stage(spark, "n-gram Jaccard join", [(None, near), (None, "x y"), (7, LONG)]) == sorted([(7, LONG), (None, "x y")], key=repr)
     assert stage(spark, "benchmark decontamination", [(None, item), (None, LONG), (7, LONG)]) == sorted([(None, LONG), (7, LONG)], key=repr)
+
+
+def test_pipeline_decides_rows_that_share_an_id(spark):
+    item = max((r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()), key=len)
+    near = LONG + " seventeen"
+    assert stage(spark, "language ID", [(3, "%%% 123"), (3, LONG)]) == [(3, LONG)]
+    assert stage(spark, "exact dedup", [(4, LONG), (4, LONG), (4, "x y"), (3, "x y"), (2, "z")]) == [(2, "z"), (3, "x y"), (4, LONG)]
+    assert stage(spark, "n-gram Jaccard join", [(7, near), (7, "x y"), (5, LONG)]) == [(5, LONG), (7, "x y")]
+    assert stage(spark, "benchmark decontamination", [(7, item), (7, LONG)]) == [(7, LONG)]
