@@ -515,6 +515,18 @@ def fallback_join_muni(spark, sf_dir):
     return panel.fill_from(cities, table, "city", "prov", ["acc_2014", "gini_2014"], "acc_2014", ["r1", "r5", "r7", "r11"])
 
 
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 24 = 5 THEN 'none' ELSE 'r' || (c_custkey % 12) END AS city, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS acc_2014, 1.0 AS gini_2014 FROM customer),
+    p AS (SELECT 'r' || n_nationkey AS prov, n_nationkey * 2.0 AS acc_2014, n_nationkey * 3.0 AS gini_2014 FROM nation)
+    SELECT c_custkey, city, CASE WHEN m THEN p.acc_2014 ELSE c.acc_2014 END AS acc_2014, CASE WHEN m THEN p.gini_2014 ELSE c.gini_2014 END AS gini_2014
+    FROM (SELECT *, acc_2014 IS NULL AND city IN ('r1', 'r5', 'r7', 'r11', 'none') AS m FROM c) c LEFT JOIN p ON prov = city""")
+def fallback_join_muni_all(spark, sf_dir):
+    """fallback_join_muni with every nation's row, and a municipality that no nation has."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    cities = _table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 24 == 5, "none").otherwise(F.concat(F.lit("r"), (k % 12).cast("string"))).alias("city"), F.when(k % 3 == 0, F.col("c_acctbal")).alias("acc_2014"), F.lit(1.0).alias("gini_2014"))
+    table = _table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), n.cast("string")).alias("prov"), (n * 2.0).alias("acc_2014"), (n * 3.0).alias("gini_2014"))
+    return panel.fill_from(cities, table, "city", "prov", ["acc_2014", "gini_2014"], "acc_2014", ["r1", "r5", "r7", "r11", "none"])
+
+
 @query("""WITH c AS (SELECT n_nationkey, n_name AS city, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 END AS acc_2014 FROM nation),
     t AS (SELECT n_name AS county, s_acctbal AS v FROM supplier JOIN nation ON n_nationkey = s_nationkey QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) = 1)
     SELECT n_nationkey, city, CASE WHEN acc_2014 IS NULL THEN v ELSE acc_2014 END AS acc_2014 FROM c LEFT JOIN t ON county = city""")

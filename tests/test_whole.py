@@ -50,3 +50,10 @@ def test_inverse_takes_every_customer(spark):
         elif got[k]["converged"] and inside(back):
             assert geo.transform_point(*back) == pytest.approx(image, abs=3e-6)
     assert outside > 100 and edge > 10
+
+
+def test_fallback_finds_every_province(spark):
+    got, want = both(spark, "fallback_join_muni_all")
+    assert got == [tuple(float(x) if hasattr(x, "as_tuple") else x for x in r) for r in want]
+    rows = [r for r in catalogue.fallback_join_muni_all(spark, SF).collect() if r["c_custkey"] % 3]
+    assert {r["acc_2014"] for r in rows if r["city"] == "r11"} == {22.0} and {r["acc_2014"] for r in rows if r["city"] == "none"} == {None}
