@@ -8,6 +8,7 @@ cannot hold (free text, coordinates, polygons, scenarios) is derived from their
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -451,6 +452,15 @@ def union_years(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_totalprice FROM orders WHERE o_orderdate IS NOT NULL")
+def union_years_all(spark, sf_dir):
+    """union_years of every year that the table has."""
+    orders = _table(spark, sf_dir, "orders")
+    years = sorted(r["y"] for r in orders.select(F.year("o_orderdate").alias("y")).where("y IS NOT NULL").distinct().collect())
+    parts = [orders.where(F.year("o_orderdate") == y).select("o_orderkey", F.lit(y).alias("year"), "o_totalprice") for y in years]
+    return reduce(DataFrame.unionByName, parts) if parts else orders.select("o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice").limit(0)
+
+
 @query("""SELECT c_custkey, try_cast(CASE WHEN c_custkey % 5 = 0 THEN 'n/a' WHEN c_custkey % 5 = 1 THEN NULL ELSE CAST(c_custkey AS VARCHAR) || '.5' END AS DOUBLE) AS number FROM customer""")
 def numeric_coercion(spark, sf_dir):
     k = F.col("c_custkey")

@@ -57,3 +57,8 @@ def test_fallback_finds_every_province(spark):
     assert got == [tuple(float(x) if hasattr(x, "as_tuple") else x for x in r) for r in want]
     rows = [r for r in catalogue.fallback_join_muni_all(spark, SF).collect() if r["c_custkey"] % 3]
     assert {r["acc_2014"] for r in rows if r["city"] == "r11"} == {22.0} and {r["acc_2014"] for r in rows if r["city"] == "none"} == {None}
+
+
+def test_union_takes_every_year(spark):
+    got, want = both(spark, "union_years_all")
+    assert got == want and len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
