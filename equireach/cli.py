@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     add("clean-years", input=needed, output=needed)
     add("assign-years", input=needed, output=needed)
     add("merge-metadata", base=needed, supplemental=needed, output=needed)
-    add("accessibility", boundaries=needed, grids=needed, hospitals=needed, output=needed, router={"default": None}, od={"default": None}, all_levels={"action": "store_true"}, scale={"type": float, "default": 10_000.0})
+    add("accessibility", boundaries=needed, grids=needed, hospitals=needed, output=needed, router={"default": None}, od={"default": None}, all_levels={"action": "store_true"}, scale={"type": float, "default": 10_000.0}, reach_km={"type": float, "default": None})
     return p
 
 
@@ -57,23 +57,23 @@ def main(arguments: list[str] | None = None) -> None:
         workflows.decompose(spark, a.config, a.root, a.output, a.method)
     elif a.workflow == "geocode":
         ask = providers.http_geocoder(a.url, os.environ[a.key_env])
-        sinks.write_csv(providers.geocode(yearly.csv(spark, a.input), ask, a.address), a.output)
+        sinks.write_csv(providers.geocode(yearly.csv(spark, a.input, line_breaks=True), ask, a.address), a.output)
     elif a.workflow == "convert":
-        sinks.write_csv(facilities.to_wgs84(yearly.csv(spark, a.input), a.lng, a.lat), a.output)
+        sinks.write_csv(facilities.to_wgs84(yearly.csv(spark, a.input, line_breaks=True), a.lng, a.lat), a.output)
     elif a.workflow == "clean-years":
-        whole, review, complete = facilities.clean_construction_years(yearly.csv(spark, a.input).cache())
+        whole, review, complete = facilities.clean_construction_years(yearly.csv(spark, a.input, line_breaks=True).cache())
         sinks.write_split({"all": whole, "review": review, "complete": complete}, a.output)
     elif a.workflow == "assign-years":
-        sinks.write_by(facilities.assign_to_years(yearly.csv(spark, a.input)), a.output, ["year"])
+        sinks.write_by(facilities.assign_to_years(yearly.csv(spark, a.input, line_breaks=True)), a.output, ["year"])
     elif a.workflow == "merge-metadata":
-        sinks.write_csv(facilities.merge_metadata(yearly.csv(spark, a.base), yearly.csv(spark, a.supplemental)), a.output)
+        sinks.write_csv(facilities.merge_metadata(yearly.csv(spark, a.base, line_breaks=True), yearly.csv(spark, a.supplemental, line_breaks=True)), a.output)
     else:
         if a.od:
             times = providers.TableTimes(spark.read.parquet(a.od))
         else:
             times = providers.ServiceTimes(providers.http_router(a.router)) if a.router else providers.DistanceTimes()
         grids = dict(x.split("=", 1) for x in a.grids.split(","))  # region=file, comma between
-        workflows.accessibility_dataset(spark, a.boundaries, grids, a.hospitals, times, a.output, not a.all_levels, a.scale)
+        workflows.accessibility_dataset(spark, a.boundaries, grids, a.hospitals, times, a.output, not a.all_levels, a.scale, a.reach_km)
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 
 def normal_p(z: float) -> float:
@@ -10,6 +11,10 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def normal_quantile(p: float) -> float:
+    return NormalDist().inv_cdf(p)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
     tiny = 1e-300

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equireach.functions.clean import divided, to_double
+from equireach.functions.geo import haversine_km
 
 #: Minutes within reach by grade, the limit of a supply ratio, beds where none are known.
 THRESHOLDS = {"Level3": 60.0, "Level2": 45.0}
@@ -62,6 +63,33 @@ def ratio_status(ratio: Column) -> Column:
     )
 
 
+def near_pairs(origins: DataFrame, dests: DataFrame, reach_km: float | None = None, region: str = "region") -> DataFrame:
+    """The pairs of points of a region: (origin_id, origin_lng, origin_lat) with (dest_id, dest_lng, dest_lat).
+
+    With reach_km only pairs within that great-circle distance, so that none beyond it is routed: dests are put into
+    every cell that lies within reach, a degree's length apart, and meet the origins of that cell alone. Cells are wider
+    in longitude where the degree is shorter; points nearer to a pole than 5 degrees, or across the 180th meridian, are
+    not met. Without it every origin of a region meets every dest, which large regions do not bear.
+    """
+    if reach_km is None:
+        return origins.join(dests, region)
+    side = reach_km / 110.5  # a degree of latitude is at least so many km
+
+    def row(lat: Column) -> Column:
+        return F.floor(lat / side).cast("int")
+
+    def width(row_: Column) -> Column:  # of a cell in a row of cells, by the shortest degree in that row and those beside it
+        far = F.least(F.greatest(F.abs((row_ - 1) * side), F.abs((row_ + 2) * side)), F.lit(85.0))
+        return side / F.cos(F.radians(far))
+
+    a = origins.withColumn("_y", row(F.col("origin_lat"))).withColumn("_x", F.floor(F.col("origin_lng") / width(F.col("_y"))).cast("int"))
+    b = dests.withColumn("_y", F.explode(F.sequence(row(F.col("dest_lat")) - 1, row(F.col("dest_lat")) + 1)))
+    at = F.floor(F.col("dest_lng") / width(F.col("_y"))).cast("int")
+    b = b.withColumn("_x", F.explode(F.sequence(at - 1, at + 1)))
+    met = a.join(b, [region, "_y", "_x"])
+    return met.where(haversine_km(F.col("origin_lng"), F.col("origin_lat"), F.col("dest_lng"), F.col("dest_lat")) <= reach_km).drop("_x", "_y")
+
+
 def supply_ratio(facilities: DataFrame, grids: DataFrame, od: DataFrame, region: Sequence[str] = (), scale: float = SCALE) -> DataFrame:
     """Step one: facilities with pop_potential, R and status.
 

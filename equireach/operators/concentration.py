@@ -25,7 +25,7 @@ class AnalysisSpec:
     xlim: tuple[float, float] | None = None
 
 
-def ranked_runs(df: DataFrame, rank: str, y: str, w: str, keys: Sequence[str] = (), rule: str = "gt0", buckets: int = 1) -> DataFrame:
+def ranked_runs(df: DataFrame, rank: str, y: str, w: str, keys: Sequence[str] = (), rule: str = "gt0", buckets: int | None = None) -> DataFrame:
     """Runs of valid rows in rank order (rank, then y, then w) with prefix sums of w and of w*y."""
     keyed = valid_rows(df, rank, y, w, rule)
     for k in keys:
@@ -45,22 +45,22 @@ def index_column() -> Column:
     return F.when((F.sum(n) >= 2) & (m != 0), 2 * F.sum(w * centred * ranks / total) / m)
 
 
-def concentration_index(df: DataFrame, rank: str, y: str, w: str, keys: Sequence[str] = (), rule: str = "gt0", buckets: int = 1) -> DataFrame:
+def concentration_index(df: DataFrame, rank: str, y: str, w: str, keys: Sequence[str] = (), rule: str = "gt0", buckets: int | None = None) -> DataFrame:
     """(keys, n, pop, mean_y, ci) for each group."""
     runs = ranked_runs(df, rank, y, w, keys, rule, buckets)
     grouped = runs.groupBy(*(F.col(f"`{k}`") for k in keys)) if keys else runs.groupBy()
     return grouped.agg(F.sum("copies").cast("long").alias("n"), F.max("w_all").alias("pop"), F.max(divided(F.col("yw_all"), F.col("w_all"))).alias("mean_y"), index_column().alias("ci"))
 
 
-def ci_series(df: DataFrame, years: Sequence[int], spec: AnalysisSpec, year: str = "year") -> DataFrame:
+def ci_series(df: DataFrame, years: Sequence[int], spec: AnalysisSpec, year: str = "year", buckets: int | None = None) -> DataFrame:
     """One row for each year asked for, with nulls where the data have no index for it."""
     spark = df.sparkSession
     asked = spark.createDataFrame([(int(y),) for y in years], f"`{year}` int")
-    found = concentration_index(df, spec.rank_var, spec.y_var, spec.w_var, [year], spec.valid_rank_rule)
+    found = concentration_index(df, spec.rank_var, spec.y_var, spec.w_var, [year], spec.valid_rank_rule, buckets)
     return asked.join(found, year, "left").select(year, F.lit(spec.name).alias("name"), "n", "pop", "mean_y", "ci")
 
 
-def concentration_curve(df: DataFrame, rank: str, y: str, w: str, keys: Sequence[str] = (), rule: str = "gt0", buckets: int = 1) -> DataFrame:
+def concentration_curve(df: DataFrame, rank: str, y: str, w: str, keys: Sequence[str] = (), rule: str = "gt0", buckets: int | None = None) -> DataFrame:
     """(keys, rank, y, w, copies, cum_pop, cum_y): running shares in rank order, at the end of each run of equal rows.
 
     A group whose weights or weighted values do not add up to more than 0 has no curve; no point at the origin is added.

@@ -31,21 +31,22 @@ NAMES = tuple(f"A{i:03b}" for i in range(8))
 def scenario_values(baseline: DataFrame, scenarios: DataFrame, indicators: Sequence[str], year: str = "Year", first: int = 2014, last: int = 2024, labels: dict[str, str] | None = None) -> DataFrame:
     """(indicator, A000 .. A111): baseline rows of both years and the labelled scenarios, one row for each indicator.
 
-    Rows with other years or labels are ignored. ValueError if a scenario is missing; of several rows any one counts.
+    Rows with other years or labels are ignored. ValueError if a scenario is missing; of several rows of a label the last
+    counts, in the order of the table's file.
     """
     label = F.col(f"`{year}`").cast("string")
     ends = {str(first): "A000", str(last): "A111"}
 
     def named(df: DataFrame, names: dict[str, str]) -> DataFrame:
         scenario = reduce(lambda out, kv: F.when(label == kv[0], kv[1]).otherwise(out), names.items(), F.lit(None).cast("string"))
-        return df.select(scenario.alias("scenario"), *(F.col(f"`{i}`").cast("double").alias(i) for i in indicators)).where("scenario IS NOT NULL")
+        return df.select(scenario.alias("scenario"), F.monotonically_increasing_id().alias("_at"), *(F.col(f"`{i}`").cast("double").alias(i) for i in indicators)).where("scenario IS NOT NULL")
 
     rows = named(baseline, ends).unionByName(named(scenarios, labels or SCENARIOS))
     found = {r[0] for r in rows.select("scenario").distinct().collect()}  # eight at most
     if missing := sorted(set(NAMES) - found):
         raise ValueError(f"scenarios are missing: {', '.join(missing)}")
-    long = rows.unpivot("scenario", [f"`{i}`" if not i.isidentifier() else i for i in indicators], "indicator", "value")
-    return long.groupBy("indicator").pivot("scenario", list(NAMES)).agg(F.last("value"))
+    long = rows.unpivot(["scenario", "_at"], [f"`{i}`" if not i.isidentifier() else i for i in indicators], "indicator", "value")
+    return long.groupBy("indicator").pivot("scenario", list(NAMES)).agg(F.max_by("value", "_at"))
 
 
 def contributions(values: DataFrame, method: str = "banzhaf_rescaled") -> DataFrame:

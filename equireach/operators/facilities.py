@@ -12,11 +12,15 @@ from equireach.functions.geo import bd09_to_wgs84
 from equireach.functions.text import UNKNOWN_YEAR, format_time
 from equireach.operators.runs import prefix_sums
 
+# Years of the tables, names of their columns.
 YEARS = tuple(range(2014, 2026))
 ASSIGNED_YEARS = tuple(range(2014, 2025))
 ADDRESSES = ("addr_x", "addr_y", "addr_x_base", "addr_y_base")
 ASSIGNED = ("name", "grade", "type", "province", "region", "area", "addr", "construction_time", "3A_year", "beds", "lng", "lat", "lng_bd08", "lat_bd08", "confidence", "comprehension")
 
+#: A sample's border lies in one of 2**SAMPLE_BITS cells of hashes.
+SAMPLE_BITS = 16
+
 
 def merge_metadata(base: DataFrame, supplemental: DataFrame, key: str = "name", keep: Sequence[str] | None = None) -> DataFrame:
     """supplemental with base's columns, left join by key; null keys match each other and several matches all stay.
@@ -61,10 +65,15 @@ def to_wgs84(df: DataFrame, lng: str = "lng_bd08", lat: str = "lat_bd08") -> Dat
 
 
 def surrogate_key(df: DataFrame, name: str, order: Sequence[str], buckets: int = 64) -> DataFrame:
-    """df with name = 0, 1, ... in the order of columns that together are unique, the first one a number: rows are dealt to
-    buckets of its values and numbered there. Without an order, rows are dealt by their hash."""
+    """df with name = 0, 1, ... in the order of columns that together are unique; nulls come first. Rows are dealt to buckets
+    of the first column's values, a string's by its first bytes, and numbered there. Without an order, rows are dealt by
+    their hash."""
     if order:
-        numbered = prefix_sums(df, [], list(order), {"_nth": F.lit(1.0)}, buckets if dict(df.dtypes)[order[0]] != "string" else 1)
+        first = F.col(f"`{order[0]}`")
+        if dict(df.dtypes)[order[0]] == "string":  # as numbers, the first six bytes are in the strings' order
+            first = F.conv(F.rpad(F.substring(F.hex(F.encode(first, "UTF-8")), 1, 12), 12, "0"), 16, 10)
+        dealt = df.withColumn("_first", F.coalesce(first.cast("double"), F.lit(float("-inf"))))
+        numbered = prefix_sums(dealt, [], ["_first", *order], {"_nth": F.lit(1.0)}, buckets)
         return numbered.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_nth_to") - 1).cast("long").alias(name))
     bucket = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(buckets))
     dealt = df.withColumn("_b", bucket)
@@ -83,6 +92,20 @@ def with_key(df: DataFrame, name: str = "hospital_id", order: Sequence[str] = ()
 
 
 def deterministic_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
-    """round(n * fraction) rows, those with the smallest hash of their key; all rows if that is none."""
-    n = round(df.count() * fraction)
-    return df.orderBy(F.xxhash64(key), key).limit(n) if n >= 1 else df
+    """round(n * fraction) rows, those with the smallest hash of their key, then the smallest key; all rows if that is none.
+
+    Rows are counted by the upper bits of their hash, 2**SAMPLE_BITS counts at most. Whole cells below the border are
+    taken as they are; only the border's cell is ranked. Of rows that repeat a key at the border any one goes first.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(key))
+    cell = F.shiftright("_h", 64 - SAMPLE_BITS)
+    counts = sorted((r["c"], r["n"]) for r in hashed.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = round(sum(n for _, n in counts) * fraction)
+    if left < 1:
+        return df
+    for border, n in counts:  # noqa: B007
+        if left <= n:
+            break
+        left -= n
+    ranked = hashed.where(cell == border).withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", key))).where(F.col("_r") <= left)
+    return hashed.where(cell < border).drop("_h").unionByName(ranked.drop("_h", "_r"))

@@ -6,15 +6,16 @@ residuals; rows never leave the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equireach.functions.clean import existing, to_double
-from equireach.functions.distributions import normal_p, t_p, t_quantile
+from equireach.functions.distributions import normal_p, normal_quantile, t_p, t_quantile
 
 #: City levels in order, the reference one, and the variables of the models.
 LEVELS = ("Megacity", "Super Large City", "Large City", "Medium/Small City")
@@ -114,11 +115,32 @@ class Fit:
         rows = [(t, float(b), float(s), p) for t, b, s, p in zip(self.terms, self.beta, self.se(), self.p(), strict=True)]
         return spark.createDataFrame(rows, "term string, coef double, se double, p double")
 
-    def text(self, name: str) -> str:
-        lines = [f"{name}: n={self.n}, R2={self.r2:.4f}", *(f"{t:40s} {b:12.4f} ({s:.4f})" for t, b, s in zip(self.terms, self.beta, self.se(), strict=True))]
+    def text(self, name: str, confidence: float = 0.95) -> str:
+        """A table of coefficients with errors, z, p and intervals by the normal distribution."""
+        reach = normal_quantile(0.5 + confidence / 2)
+        lines = [f"{name}: n={self.n}, R2={self.r2:.4f}", f"{'':40s} {'coef':>12s} {'se':>10s} {'z':>9s} {'p':>7s} {'low':>12s} {'high':>12s}"]
+        for t, b, s, p in zip(self.terms, self.beta, self.se(), self.p(), strict=True):
+            z, shown = (f"{b / s:9.3f}", f"{p:7.4f}") if p is not None else (" " * 9, " " * 7)
+            lines.append(f"{t:40s} {b:12.4f} {s:10.4f} {z} {shown} {b - reach * s:12.4f} {b + reach * s:12.4f}")
         return "\n".join(lines)
 
 
+def side_by_side(fits: dict[str, Fit]) -> str:
+    """Models as columns: coefficients with stars, errors in brackets below them, then N and R squared."""
+
+    def stars(p: float | None) -> str:
+        return "" if p is None else "***" if p < 0.01 else "**" if p < 0.05 else "*" if p < 0.1 else ""
+
+    terms = list(dict.fromkeys(t for f in fits.values() for t in f.terms))
+    lines = [f"{'':40s}" + "".join(f"{n:>24s}" for n in fits)]
+    for t in terms:
+        at = [f.terms.index(t) if t in f.terms else None for f in fits.values()]
+        lines.append(f"{t:40s}" + "".join(" " * 24 if i is None else f"{f.beta[i]:.4f}{stars(f.p()[i])}".rjust(24) for f, i in zip(fits.values(), at, strict=True)))
+        lines.append(" " * 40 + "".join(" " * 24 if i is None else f"({f.se()[i]:.4f})".rjust(24) for f, i in zip(fits.values(), at, strict=True)))
+    lines += [f"{'N':40s}" + "".join(f"{f.n:24d}" for f in fits.values()), f"{'R2':40s}" + "".join(f"{f.r2:24.3f}" for f in fits.values())]
+    return "\n".join(lines)
+
+
 def design(columns: Sequence[str], level: str | None = None, levels: Sequence[str] = LEVELS, reference: str = REFERENCE, interacted: Sequence[str] = ()) -> dict[str, Column]:
     """Terms of a model: intercept, columns, treatment dummies of level, and interacted columns times dummies."""
     terms = {INTERCEPT: F.lit(1.0)} | {c: F.col(c) for c in columns}
@@ -161,28 +183,91 @@ def ols_hc1(df: DataFrame, y: str, terms: dict[str, Column]) -> Fit:
     return Fit(tuple(names), beta, cov, n, rank, 1 - second["rss"] / spread if spread else float("nan"))
 
 
-def model_set(df: DataFrame) -> dict[str, Fit]:
-    """All 21 models by name, <outcome>_<1|2|3> for SEE and CIE (accessibility) and <outcome>_<see_cie|total>_<1|2|3>.
+def _per_model(wide: DataFrame, models: dict[str, tuple[int, list[int]]], matrices) -> dict[str, np.ndarray]:
+    """The sum over rows of a matrix for each model. models: the places of y and of the terms among wide's columns;
+    matrices(model, x, y) gives the matrix of some complete rows. Each batch sends one matrix a model, and they are added
+    up before they come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            for name, (y, terms) in models.items():
+                rows = z[~np.isnan(z[:, [y, *terms]]).any(1)]
+                total[name] = total.get(name, 0) + matrices(name, rows[:, terms], rows[:, y])
+        for name, m in total.items():
+            i, j = np.indices(m.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * m.size), pa.array(i.reshape(-1)), pa.array(j.reshape(-1)), pa.array(m.reshape(-1))], ["model", "i", "j", "v"])
+
+    got = wide.mapInArrow(run, "model string, i long, j long, v double").groupBy("model", "i", "j").agg(F.sum("v").alias("v")).collect()
+    out: dict[str, np.ndarray] = {}
+    for name, (_, terms) in models.items():
+        out[name] = np.zeros((len(terms) + 1, len(terms) + 1))
+    for r in got:
+        out[r["model"]][r["i"], r["j"]] = r["v"]
+    return out
+
+
+def fit_all(df: DataFrame, models: dict[str, tuple[str, dict[str, Column]]]) -> dict[str, Fit]:
+    """ols_hc1 of many models (y, terms), each with an intercept, in two passes over df in all; a term's name means the
+    same in every model."""
+    wide = {f"y:{y}": F.col(y) for y, _ in models.values()} | {n: c for _, terms in models.values() for n, c in terms.items()}
+    at = {n: i for i, n in enumerate(wide)}
+    rows = df.select(*(F.coalesce(c.cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(wide.values())))
+    places = {m: (at[f"y:{y}"], [at[t] for t in terms]) for m, (y, terms) in models.items()}
+
+    def products(_: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = np.column_stack([x, y])
+        return z.T @ z
+
+    first, known = _per_model(rows, places, products), {}
+    for m, (y, _) in models.items():
+        xx, one = first[m][:-1, :-1], list(models[m][1]).index(INTERCEPT)
+        if not xx[one, one]:
+            raise ValueError(f"no complete rows for {y}")
+        inverse = np.linalg.pinv(xx, rcond=1e-12, hermitian=True)
+        known[m] = inverse, inverse @ first[m][:-1, -1], int(np.linalg.matrix_rank(xx, hermitian=True))
+
+    def weighed(m: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ee = (y - x @ known[m][1]) ** 2
+        out = np.zeros((x.shape[1] + 1,) * 2)
+        out[:-1, :-1], out[-1, -1] = x.T @ (x * ee[:, None]), ee.sum()
+        return out
+
+    second, out = _per_model(rows, places, weighed), {}
+    for m, (_, terms) in models.items():
+        inverse, beta, rank = known[m]
+        one = list(terms).index(INTERCEPT)
+        n, sy = int(first[m][one, one]), first[m][one, -1]
+        factor = n / (n - rank) if n > rank else float("nan")
+        spread = first[m][-1, -1] - sy**2 / n
+        out[m] = Fit(tuple(terms), beta, factor * inverse @ second[m][:-1, :-1] @ inverse, n, rank, 1 - second[m][-1, -1] / spread if spread else float("nan"))
+    return out
+
 
-    1: controls; 2: with effects of city level; 3: expansion interacted with city level. Complete rows by outcome.
+def model_designs(columns: Sequence[str]) -> dict[str, tuple[str, dict[str, Column]]]:
+    """(y, terms) of the 21 models by name: <outcome>_<1|2|3> for accessibility, <outcome>_<see_cie|total>_<1|2|3> for others.
+
+    1: controls; 2: with effects of city level; 3: expansion interacted with city level. columns: those of the panel.
     """
-    out: dict[str, Fit] = {}
+    out = {}
     for y, base in OUTCOMES.items():
         for family, variables in (("see_cie", ("city_SEE", "city_CIE")), ("total", ("city_TotalExpansion",))):
             if y == "acc_delta" and family == "total":
                 continue
-            controls = [base, *CONTROLS]
-            rows = df.dropna(subset=existing(df, [y, *controls, *variables, "city_level_4"])).cache()
-            try:
-                prefix = "acc_delta" if y == "acc_delta" else f"{y}_{family}"
-                out[f"{prefix}_1"] = ols_hc1(rows, y, design([*controls, *variables]))
-                out[f"{prefix}_2"] = ols_hc1(rows, y, design([*controls, *variables], "city_level_4"))
-                out[f"{prefix}_3"] = ols_hc1(rows, y, design(controls, "city_level_4", interacted=variables))
-            finally:
-                rows.unpersist()
+            controls = [c for c in (base, *CONTROLS) if c in columns]
+            prefix = "acc_delta" if y == "acc_delta" else f"{y}_{family}"
+            out[f"{prefix}_1"] = y, design([*controls, *variables])
+            out[f"{prefix}_2"] = y, design([*controls, *variables], "city_level_4")
+            out[f"{prefix}_3"] = y, design(controls, "city_level_4", interacted=variables)
     return out
 
 
+def model_set(df: DataFrame) -> dict[str, Fit]:
+    """All 21 models by name, over rows that have a city level and all of a model's variables."""
+    return fit_all(df.where("city_level_4 IS NOT NULL"), model_designs(df.columns))
+
+
 def total_effect(fit: Fit, variable: str, level: str, reference: str = REFERENCE) -> tuple[float | None, float | None]:
     """(effect, p) of a variable at a level; (effect, None) without the interaction, (None, None) without the variable."""
     if variable not in fit.terms:

@@ -18,21 +18,29 @@ def collapse(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) ->
     return df.select(*(F.col(f"`{k}`") for k in keys), *(c.alias(n) for n, c in columns.items())).groupBy(*(F.col(f"`{k}`") for k in keys), *columns).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _bucket(df: DataFrame, order: str, buckets: int) -> Column:
+def _dealt(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    """df with the _bucket of each row's value: its place, by binary search, among approximate quantiles of all rows,
+    which a subquery of the same plan finds."""
     if buckets <= 1:
-        return F.lit(0)
-    cuts = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
-    cuts = sorted({float(c) for c in cuts})
-    if not cuts:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(order))), F.lit(0))
+        return df.withColumn("_bucket", F.lit(0))
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets))).alias("cuts")).scalar()
+    steps = [1 << k for k in reversed(range((buckets - 1).bit_length()))]
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(order), at + step).otherwise(at))
+    return df.withColumn("_cuts", cuts).withColumn("_bucket", place).drop("_cuts")
 
 
-def prefix_sums(runs: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], buckets: int = 1) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """As many as the session's shuffle partitions: groups of any size then sort in that many tasks together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def prefix_sums(runs: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """runs with, for each sum s over a run's copies: s_to (up to its end), s_all (of the group); and `previous`, the
-    first ordering column of the run before. Keys are not null. buckets > 1 splits a group over so many tasks."""
+    first ordering column of the run before. The first ordering column is a number. Null keys are a group. A group is
+    split over `buckets` tasks, default_buckets() unless given."""
     key = [F.col(f"`{k}`") for k in keys]
-    dealt = runs.withColumn("_bucket", _bucket(runs, order[0], buckets)).withColumns({f"_{s}": c for s, c in sums.items()})
+    buckets = default_buckets(runs) if buckets is None else buckets
+    dealt = _dealt(runs, order[0], buckets).withColumns({f"_{s}": c for s, c in sums.items()})
     totals = dealt.groupBy(*key, "_bucket").agg(*(F.sum(f"_{s}").alias(f"_{s}_in") for s in sums), F.max(order[0]).alias("_last"))
     group = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
     along = group.orderBy("_bucket")
@@ -49,6 +57,6 @@ def prefix_sums(runs: DataFrame, keys: Sequence[str], order: Sequence[str], sums
     local = dealt.withColumns({f"_{s}_to": F.sum(f"_{s}").over(running) for s in sums} | {"_lag": F.lag(order[0]).over(within)})
     on = F.col("_bucket") == F.col("_of")
     for i, k in enumerate(keys):
-        on = on & (F.col(f"`{k}`") == F.col(f"_key_{i}"))
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"_key_{i}"))
     met = local.join(totals, on)
     return met.select(*(F.col(f"`{c}`") for c in runs.columns), F.coalesce("_lag", "_previous_bucket").alias("previous"), *((F.col(f"_{s}_to") + F.col(f"_{s}_before")).alias(f"{s}_to") for s in sums), *(F.col(f"{s}_all") for s in sums))

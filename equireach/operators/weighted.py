@@ -16,17 +16,25 @@ from equireach.operators.runs import collapse, prefix_sums
 STATISTICS = ("min", "max", "grid_num", "pop_num", "pop_mean", "pop_25%", "pop_median", "pop_75%", "pop_std", "pop_gini", "pop_theil", "pop_MLD", "p90_p10", "p80_p20")
 
 
-def sorted_runs(df: DataFrame, value: str, weight: str, keys: Sequence[str] = (), buckets: int = 1) -> DataFrame:
-    """Runs (x, w, copies) of valid rows with prefix sums of w, x*w and, over x > 0, of w; one run with null x and w
-    stands for a group's invalid rows, so that a group of those alone stays. Rows with a null key go."""
+def _sums(runs: DataFrame, keys: Sequence[str], buckets: int | None) -> DataFrame:
+    part = F.coalesce(F.col("w") * F.col("copies"), F.lit(0.0))
+    return prefix_sums(runs, keys, ["x", "w"], {"w": part, "xw": F.coalesce(F.col("x") * part, F.lit(0.0)), "pos": F.when(F.col("x") > 0, part).otherwise(0.0)}, buckets)
+
+
+def _numbers(value: str, weight: str) -> dict[str, Column]:
+    """x and w of a row, both null where the row is not valid."""
     x, w = to_double(F.col(f"`{value}`")), to_double(F.col(f"`{weight}`"))
     valid = x.isNotNull() & (w > 0)
+    return {"x": F.when(valid, x), "w": F.when(valid, w)}
+
+
+def sorted_runs(df: DataFrame, value: str, weight: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Runs (x, w, copies) of valid rows with prefix sums of w, x*w and, over x > 0, of w; one run with null x and w
+    stands for a group's invalid rows, so that a group of those alone stays. Rows with a null key go."""
     keyed = df
     for k in keys:
         keyed = keyed.where(F.col(f"`{k}`").isNotNull())
-    runs = collapse(keyed, keys, {"x": F.when(valid, x), "w": F.when(valid, w)})
-    part = F.coalesce(F.col("w") * F.col("copies"), F.lit(0.0))
-    return prefix_sums(runs, keys, ["x", "w"], {"w": part, "xw": F.coalesce(F.col("x") * part, F.lit(0.0)), "pos": F.when(F.col("x") > 0, part).otherwise(0.0)}, buckets)
+    return _sums(collapse(keyed, keys, _numbers(value, weight)), keys, buckets)
 
 
 def _first(value: Column, along: Column, where: Column) -> Column:
@@ -118,16 +126,32 @@ def statistic_columns() -> list[Column]:
     ]
 
 
-def weighted_stats(df: DataFrame, value: str = "acc", weight: str = "pop", keys: Sequence[str] = (), buckets: int = 1) -> DataFrame:
+def weighted_stats(df: DataFrame, value: str = "acc", weight: str = "pop", keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """STATISTICS of value by weight, one row for each group of keys (one in all without keys).
 
     Values that are not finite numbers, and weights not above 0, do not count; a group left without rows has counts 0
-    and nulls. pop_num is the whole part of the weight. buckets spreads each group's sorting over so many tasks.
+    and nulls. pop_num is the whole part of the weight. buckets spreads each group's sorting over so many tasks, as many
+    as the session has shuffle partitions unless given.
     """
     runs = sorted_runs(df, value, weight, keys, buckets)
     return (runs.groupBy(*(F.col(f"`{k}`") for k in keys)) if keys else runs.groupBy()).agg(*statistic_columns())
 
 
-def stats_at_levels(df: DataFrame, levels: dict[str, Sequence[str]], value: str = "acc", weight: str = "pop") -> dict[str, DataFrame]:
-    """weighted_stats at several grouping levels of one frame; equal rows are counted once, at the finest level."""
-    return {name: weighted_stats(df, value, weight, keys) for name, keys in levels.items()}
+def stats_at_levels(df: DataFrame, levels: dict[str, Sequence[str]], value: str = "acc", weight: str = "pop", buckets: int | None = None) -> DataFrame:
+    """weighted_stats at several grouping levels in one plan: (level, the keys of all levels, STATISTICS).
+
+    Keys that a level does not group by are null in its rows; rows with a null in one of a level's keys do not count at
+    that level. df is read once: equal rows are counted at the finest level, and coarser levels add up these counts.
+    """
+    names = list(dict.fromkeys(k for keys in levels.values() for k in keys))
+    finest = collapse(df, names, _numbers(value, weight))
+    there = {level: F.lit(True) for level in levels}
+    for level, keys in levels.items():
+        for k in keys:
+            there[level] = there[level] & F.col(f"`{k}`").isNotNull()
+    at = F.explode(F.filter(F.array(*(F.when(there[level], F.lit(level)) for level in levels)), lambda x: x.isNotNull()))
+    by_level = finest.withColumn("level", at).withColumns({k: F.when(F.col("level").isin([level for level, keys in levels.items() if k in keys]), F.col(f"`{k}`")) for k in names})
+    by = ["level", *names]
+    columns = [F.col(f"`{k}`") for k in by]
+    runs = by_level.groupBy(*columns, "x", "w").agg(F.sum("copies").alias("copies"))
+    return _sums(runs, by, buckets).groupBy(*columns).agg(*statistic_columns())

@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equireach.operators.facilities import surrogate_key
+
+
+#: A line that holds a feature, as writers of large files put them; the lines around them are the collection's.
+_FEATURE = r'^\s*\{\s*"type"\s*:\s*"Feature"\s*,'
+#: Lines looked at, and bytes of each, to tell whether features stand on lines.
+HEAD_LINES, HEAD_BYTES = 20, 200
+
 
 def _features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """(index, f): the features of a file with their place in it.
+
+    Files with a feature on each line, newline-delimited ones or collections, are read by several tasks; a feature line
+    that is no whole feature is an error. Any other file is one record and read by one task.
+    """
     feature = f"struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: string>>"
-    raw = spark.read.option("multiLine", True).schema(f"features array<{feature}>").json(path)
-    return raw.select(F.posexplode("features").alias("index", "f"))
+    lines = spark.read.text(path)
+    if not lines.select(F.substring("value", 1, HEAD_BYTES).alias("v")).limit(HEAD_LINES).where(F.col("v").rlike(_FEATURE)).take(1):
+        raw = spark.read.option("multiLine", True).schema(f"features array<{feature}>").json(path)
+        return raw.select(F.posexplode("features").alias("index", "f"))
+    own = lines.where(F.col("value").rlike(_FEATURE)).select(F.regexp_replace("value", r",\s*$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
+    task, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for r in own.groupBy(task.alias("t")).agg(F.count(F.lit(1)).alias("n")).orderBy("t").collect():  # one row a task
+        starts.append((r["t"], before))
+        before += r["n"]
+    first = F.broadcast(spark.createDataFrame(starts, "t long, before long"))
+    parsed = F.from_json("value", feature, {"mode": "FAILFAST"})
+    return own.withColumn("t", task).join(first, "t").select((place + F.col("before")).cast("int").alias("index"), parsed.alias("f"))
 
 
 def boundaries(spark: SparkSession, path: str) -> DataFrame:
@@ -49,5 +73,5 @@ def grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with grid_id = 0, 1, ... by a column."""
-    return df.withColumn("grid_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    """df with grid_id = 0, 1, ... by a column of unique values, without a task that holds all rows."""
+    return surrogate_key(df, "grid_id", [order])

@@ -5,6 +5,7 @@ A service is called from mapInPandas, one session for each task; what it could n
 
 from __future__ import annotations
 
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -50,22 +51,29 @@ class DistanceTimes(TravelTimes):
 class ServiceTimes(TravelTimes):
     """Times from a routing service: the first of 25 jittered pairs of points that it finds a path for.
 
-    ask(lng, lat, lng, lat) returns minutes or None and may raise; it is sent to the executors.
+    ask(lng, lat, lng, lat) returns minutes or None and may raise; it is sent to the executors. A pair of points that has
+    no time because a call failed is asked for again, `retries` times at most, after `pause` seconds.
     """
 
-    def __init__(self, ask: Callable[[float, float, float, float], float | None]):
-        self.ask = ask
+    def __init__(self, ask: Callable[[float, float, float, float], float | None], retries: int = 1, pause: float = 0.1):
+        self.ask, self.retries, self.pause = ask, retries, pause
 
     def minutes(self, pairs: DataFrame) -> DataFrame:
-        ask, moves = self.ask, jitter_offsets()
+        ask, moves, retries, pause = self.ask, jitter_offsets(), self.retries, self.pause
 
         def one(a: float, b: float, c: float, d: float) -> float | None:
-            for _, dx, dy, ex, ey in moves:
-                try:
-                    if (cost := ask(a + dx, b + dy, c + ex, d + ey)) is not None:
-                        return float(cost)
-                except (OSError, ValueError):  # the next pair of points may have a path
-                    continue
+            for turn in range(retries + 1):
+                failed = False
+                for _, dx, dy, ex, ey in moves:
+                    try:
+                        if (cost := ask(a + dx, b + dy, c + ex, d + ey)) is not None:
+                            return float(cost)
+                    except (OSError, ValueError):  # the next pair of points may have a path
+                        failed = True
+                if not failed:
+                    break
+                if turn < retries:
+                    time.sleep(pause)
             return None
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Names of files and columns.
 #: Names a year's grid file may have, in order of preference.
 GRID_NAMES = ("national_{year}.csv", "national_{year}_sample.csv")
 CITY_NAMES = ("city_SEE_CIE_{year}.csv",)
@@ -20,9 +21,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV file with a header and, perhaps, a byte order mark. Without a schema all columns are text."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def csv(spark: SparkSession, path: str, schema: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """A CSV file with a header and, perhaps, a byte order mark. Without a schema all columns are text.
+
+    Large files are read by several tasks, so a row is a line. line_breaks: quoted values may hold line breaks, and each
+    file is read by one task; for tables with free text, such as facilities'.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
