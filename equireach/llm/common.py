@@ -97,20 +97,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Words of 64 bits in a filter over ids: at most so many rows are broadcast, whatever the number of ids.
-FILTER_BITS = 16
+#: Words of 64 bits in a filter over ids, as powers of two: at least, and at most, whatever the number of ids.
+LEAST_WORDS, MOST_WORDS = 12, 19
+
+
+def words_for(ids: int) -> int:
+    """The power of two of words that gives an id four bits or more, within the bounds."""
+    return max(LEAST_WORDS, min(MOST_WORDS, (4 * ids // 64).bit_length()))
 
 
 def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_col: str, name: str) -> DataFrame:
     """df with a boolean `name`, true for every row whose column is among ids and for few others.
 
-    A filter of fixed size is broadcast, so that rows need no shuffle to be told apart; past some million ids it
-    lets more rows pass, and what follows must not depend on it.
+    A filter is broadcast, sized by a count of the ids, 2**MOST_WORDS words at most, so that rows need no shuffle to be
+    told apart. Beyond some ten million ids more rows pass; what follows must not depend on it.
     """
+    power = words_for(ids.count())
     h = F.xxhash64(F.col(column).cast("long"))
     one = ids.select(F.xxhash64(F.col(id_col).cast("long")).alias("_h"))
-    words = one.groupBy(F.shiftrightunsigned("_h", 64 - FILTER_BITS).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS INT)))").alias("_bits"))
-    met = df.withColumn("_h", h).join(F.broadcast(words), F.shiftrightunsigned("_h", 64 - FILTER_BITS) == F.col("_word"), "left")
+    words = one.groupBy(F.shiftrightunsigned("_h", 64 - power).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_h & 63 AS INT)))").alias("_bits"))
+    met = df.withColumn("_h", h).join(F.broadcast(words), F.shiftrightunsigned("_h", 64 - power) == F.col("_word"), "left")
     there = F.expr("coalesce(_bits & shiftleft(1L, CAST(_h & 63 AS INT)), 0L) <> 0")
     return met.withColumn(name, there).drop("_h", "_word", "_bits")
 
@@ -122,3 +128,24 @@ def without(df: DataFrame, column: str, ids: DataFrame, id_col: str) -> DataFram
     told = maybe_among(df, column, gone, "_gone", "_maybe")
     doubtful = told.where("_maybe").drop("_maybe")
     return told.where("NOT _maybe").drop("_maybe").unionByName(doubtful.join(gone, doubtful[column] == gone["_gone"], "left_anti"))
+
+
+#: Keys that may be broadcast because so many rows have them, at most; and the rows that make a key one of them, at least.
+MOST_HOT, LEAST_HOT = 10_000, 1000
+
+
+def hot_from(total: int) -> int:
+    """A key with more rows than this is hot: of total rows, MOST_HOT keys at most can be."""
+    return max(LEAST_HOT, total // MOST_HOT)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table (inner or left), which has one row a key and in `size` how many of the `total` rows have it.
+
+    Rows of hot keys stay where they are and meet a broadcast of their keys, MOST_HOT rows; the others are shuffled.
+    """
+    most = hot_from(total)
+    if total <= most:
+        return rows.join(table, on, how)
+    hot, rest = F.broadcast(table.where(F.col(size) > most)), table.where(F.col(size) <= most)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))

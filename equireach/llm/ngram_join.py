@@ -1,17 +1,20 @@
 """The n-gram Jaccard join: all links between documents whose 5-word shingle sets are alike, as components.
 
-Equal sets are one row. Like sets gather in stars: by min-hash keys every set finds the set that most of its kin share
-keys with, its centre, and is compared with it exactly; a set's shingles are then written as differences from its
-centre's. Two exact products of the document by n-gram incidence follow, each accumulating overlap counts and
-discarding pairs below bounds that the sizes give:
-
-* within a star, blocks of sets that do not link to the centre against blocks of all its sets, over the differences;
-* across stars, over prefixes. Shingles have one order, rare before frequent; two alike sets share one of their first
-  n - ceil(t n) + 1. Shingles that only one star has there are dropped before any pair is formed; pairs whose count
-  cannot reach the needed overlap are dropped next; the rest are compared exactly.
-
-Pairs that a common centre links need not be formed, so a group of copies costs as its size, not its square. The
-order of shingles comes from a table of counts of fixed size over all documents; it decides the speed, not the result.
+Links come from a blocked product of the document by n-gram incidence with its transpose: overlap counts of pairs of
+sets are accumulated over blocks of n-grams, and pairs whose sizes, or counts so far, leave them below the bound are
+discarded. What keeps the product sparse:
+
+* Equal sets are one row of the incidence.
+* Like sets are grouped in stars: by min-hash keys every set finds the set that most of its kin share keys with, its
+  centre. The product of a star's rows with its centre's gives their overlaps and differences; a second product over
+  these differences, in blocks, links sets of a star that the centre does not link.
+* Across stars the product is taken over prefixes first. Shingles have one order, rare before frequent; two alike sets
+  share one of their first n - ceil(t n) + 1. Shingles that only one star has there are dropped; counts over the others
+  are accumulated, and pairs that cannot reach the needed overlap dropped. For the pairs left the product over all
+  n-grams decides. Centres go first: stars that they link need no pairs between their other sets.
+
+Pairs that are linked by others need not be formed, so a group of copies costs as its size, not its square. Grouping
+and the order of shingles, which comes from a table of counts of fixed size over all documents, decide the speed only.
 """
 
 from __future__ import annotations
@@ -22,21 +25,26 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch, maybe_among, mix64, partitions_for
+from equireach.llm.common import Scratch, hot_from, join_counted, maybe_among, mix64, partitions_for
 from equireach.llm.common import parts as in_parts
 from equireach.llm.components import components
 from equireach.llm.shingles import sets
 
 KEYS = 8
 SKETCH_BITS, SKETCH_PARTS = 20, 16
-FILTER_BITS = 24
+#: The filter over shared shingles has 2**LEAST_BITS bits at least and 2**MOST_BITS, 32 MB, at most.
+LEAST_BITS, MOST_BITS = 20, 28
 #: Keys that a set must share with its centre to be compared with it, and the similarity in percent that keeps it there.
 VOTES, KIN = 3, 50
-#: Sets of a block of the product within a star, and members that meet one copy of their centre's text.
+#: Sets of a block of the product within a star, and members that meet one copy of their centre's row.
 BLOCK = 1024
+#: Bytes of differences in a block of the product within a star, about.
+BLOCK_BYTES = 16_000_000
+#: N-grams of a row in one block of the product: a longer row meets its partner in several, dealt by hash.
+BLOCK_GRAMS = 1 << 16
 #: Bytes of packed prefixes that one task gathers, about.
 BUCKET_BYTES = 12_000_000
 SIGNED = "doc_id long, n long, s1 long, s2 long, keys array<long>, part int, counts binary"
@@ -48,8 +56,10 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _u64(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, np.uint64)
+def _marked(more: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """What a set has beside its centre, and what it lacks, as elements of one kind."""
+    a, b = (np.asarray(x, np.int64).view(np.uint64) for x in (more, less))
+    return np.concatenate([a, mix64(b ^ np.uint64(0xA5A5))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,61 +113,80 @@ def shingle_counts(signed: DataFrame) -> np.ndarray:
 
 
 def _centres(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, centre) for sets that share a key with others: the centre is the leader of most of its keys' groups, and a
-    group's leader is the set whose keys are shared most. Groups of a key are aggregated before they meet their rows."""
-    keyed = reps.select("rep", F.posexplode("keys").alias("k", "key"))
-    sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = scratch.table(keyed.join(sizes, ["k", "key"]), "keyed")
+    """(rep, centre, n, n_centre) for sets that share a key with others: the centre is the leader of most of its keys'
+    groups, and a group's leader is the set whose keys are shared most. Groups are aggregated before they meet their
+    rows, and the rows of large ones stay where they are."""
+    keyed = scratch.table(reps.select("rep", "n", F.posexplode("keys").alias("k", "key")), "all-keys")
+    on, total = ["k", "key"], keyed.count()
+    sizes = scratch.table(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key-sizes")
+    shared = scratch.table(join_counted(keyed, sizes, on, "size", total), "keyed")
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
-    weighed = shared.join(weight, "rep")
-    leaders = weighed.groupBy("k", "key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("best"))
-    votes = shared.join(leaders, ["k", "key"]).groupBy("rep", (-F.col("best.minus")).alias("centre")).agg(F.count(F.lit(1)).alias("n"), F.max("best.weight").alias("weight"))
-    best = votes.where((F.col("n") >= VOTES) | (F.col("rep") == F.col("centre"))).groupBy("rep").agg(F.max(F.struct("n", "weight", (-F.col("centre")).alias("minus"))).alias("best"))
-    return best.select("rep", (-F.col("best.minus")).alias("centre"))
+    leaders = shared.join(weight, "rep").groupBy(*on).agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("n").alias("n_centre"))).alias("best"), F.max("size").alias("group"))
+    led = join_counted(shared, scratch.table(leaders, "leaders"), on, "group", total)
+    votes = led.groupBy("rep", "n", (-F.col("best.minus")).alias("centre")).agg(F.count(F.lit(1)).alias("votes"), F.max("best.weight").alias("weight"), F.max("best.n_centre").alias("n_centre"))
+    own = votes.where((F.col("votes") >= VOTES) | (F.col("rep") == F.col("centre")))
+    best = own.groupBy("rep", "n").agg(F.max(F.struct("votes", "weight", (-F.col("centre")).alias("minus"), "n_centre")).alias("best"))
+    return best.select("rep", (-F.col("best.minus")).alias("centre"), "n", F.col("best.n_centre").alias("n_centre"))
 
 
-COMPARED = "centre long, rep long, n long, n_centre long, overlap long, more binary, less binary"
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The incidence's rows of texts: their distinct shingles."""
+    for batch in in_parts(batches):
+        found = list(sets(batch.column(1).fill_null("")))
+        grams = pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, grams)], ["id", "grams"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (centre, salt) with the centre's text first: its set is held while its members pass."""
-    key, base = None, None
-    for batch in in_parts(batches):
-        out: list[list] = [[] for _ in range(7)]
-        found = sets(batch.column("text").fill_null(""))
-        for centre, salt, rep, h in zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "rep")), found, strict=True):
-            if rep is None:
-                key, base = (centre, salt), h
-            elif key == (centre, salt):
-                at = np.minimum(np.searchsorted(base, h), max(0, len(base) - 1))
-                both = base[at] == h if len(base) else np.zeros(len(h), bool)
-                missing = np.ones(len(base), bool)
-                missing[at[both]] = False
-                for column, x in zip(out, (centre, rep, len(h), len(base), int(both.sum()), h[~both].tobytes(), base[missing].tobytes()), strict=True):
-                    column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:5]] + [pa.array(x, pa.binary()) for x in out[5:]], [c.split(" ")[0] for c in COMPARED.split(", ")])
-
-
-def compare(texts: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """COMPARED for each distinct pair (centre, rep), exactly, from whole texts; each text travels once for each pair it
-    is the rep of, and once for each BLOCK members of a centre."""
-    salted = pairs.select("centre", "rep")
-    sizes = salted.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
-    # the salt of a member comes from its own id alone; a centre is copied to all salts that its count may use
-    salted = salted.join(sizes, "centre").select(F.col("rep").alias("id"), "centre", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), "rep")
-    heads = sizes.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("rep"))
-    wanted = salted.unionByName(heads)
-    near = maybe_among(texts, "doc_id", pairs.select(F.explode(F.array("centre", "rep")).alias("id")), "id", "wanted").where("wanted")
-    rows = near.join(wanted, near["doc_id"] == wanted["id"]).select("centre", "salt", "rep", "text")
-    return rows.repartition(parts, "centre", "salt").sortWithinPartitions("centre", "salt", F.col("rep").asc_nulls_first()).mapInArrow(_compare, COMPARED)
+def _needed(n: str, m: str, percent: int) -> Column:
+    return F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent))
+
+
+def product(texts: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, differences: bool = False) -> DataFrame:
+    """The pairs (centre, rep, n, n_centre) whose sets are alike to percent, with their overlap: the incidence's rows of
+    the reps times those of the centres, its counts added up over blocks of n-grams.
+
+    Pairs whose sizes cannot give it are discarded before. A row travels once for each pair that it is the rep of, and
+    once for each BLOCK reps of a centre. differences: also what either set has beside the other, `more` and `less`.
+    """
+    able = pairs.where((100 * F.col("n") >= percent * F.col("n_centre")) & (100 * F.col("n_centre") >= percent * F.col("n"))).select("centre", "rep", "n", "n_centre")
+    able = scratch.table(able, "able")
+    sizes = able.groupBy("centre").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.max("n_centre") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    dealt = join_counted(able, sizes, ["centre"], "size", able.count())
+
+    def salts() -> Column:
+        return F.ceil(F.col("size") / BLOCK).cast("int")
+
+    members = dealt.select("centre", F.pmod(F.xxhash64("rep"), salts()).cast("int").alias("salt"), "rep", "n", "n_centre", "blocks")
+    heads = sizes.select(F.col("centre").alias("c_centre"), F.explode(F.sequence(F.lit(0), salts() - 1)).alias("c_salt"), "blocks")
+
+    def incidence(wanted: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+        """wanted with the rows of the sets that its key names, a row for each block of n-grams."""
+        near = maybe_among(texts.select("doc_id", "text"), "doc_id", ids, ids.columns[0], "wanted").where("wanted").drop("wanted")
+        met = wanted.join(near.mapInArrow(_rows, "id long, grams array<long>"), F.col(key) == F.col("id")).drop("id")
+        cut = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        of = lambda x: F.shiftright(F.shiftrightunsigned(x, 33) * F.col("blocks"), 31) == F.col("block")
+        return cut.withColumn("grams", F.when(F.col("blocks") == 1, F.col("grams")).otherwise(F.filter("grams", of))).drop("blocks")
+
+    a = incidence(members, "rep", able.select("rep").distinct())
+    b = incidence(heads, "c_centre", able.select("centre").distinct()).withColumnsRenamed({"grams": "c_grams", "block": "c_block"})
+    met = a.join(b, (F.col("centre") == F.col("c_centre")) & (F.col("salt") == F.col("c_salt")) & (F.col("block") == F.col("c_block")))
+    one = ["centre", "rep", "n", "n_centre"]
+    if differences:
+        met = met.select(*one, F.array_except("grams", "c_grams").alias("more"), F.array_except("c_grams", "grams").alias("less"), F.size("grams").alias("size"))
+        added = [F.sum(F.col("size") - F.size("more")).alias("overlap"), F.flatten(F.collect_list("more")).alias("more"), F.flatten(F.collect_list("less")).alias("less")]
+    else:
+        met = met.select(*one, F.size(F.array_intersect("grams", "c_grams")).alias("size"))
+        added = [F.sum("size").alias("overlap")]
+    return met.groupBy(*one).agg(*added).where(F.col("overlap") >= _needed("n", "n_centre", percent))
 
 
 def _within(percent: int):
-    """Links of one block of a star: its far sets `b` against its sets `a`, from their differences to the centre."""
+    """Links of one block of a star: the product of its far sets `b` with its sets `a`, over their differences to the centre."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         far, near = rows[rows["far"]], rows[~rows["far"]]
-        pieces = [np.concatenate([_u64(m), mix64(_u64(s) ^ np.uint64(0xA5A5))]) for m, s in zip(near["more"], near["less"], strict=True)]
+        pieces = [_marked(m, s) for m, s in zip(near["more"], near["less"], strict=True)]
         owner = np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
         elements = np.concatenate(pieces) if pieces else np.empty(0, np.uint64)
         order = np.argsort(elements, kind="stable")
@@ -165,7 +194,7 @@ def _within(percent: int):
         n, lost, rep, linked = near["n"].to_numpy(), near["n_centre"].to_numpy() - near["overlap"].to_numpy(), near["rep"].to_numpy(), near["linked"].to_numpy()
         out = []
         for b in far.itertuples():
-            mine = np.concatenate([_u64(b.more), mix64(_u64(b.less) ^ np.uint64(0xA5A5))])
+            mine = _marked(b.more, b.less)
             lo, hi = np.searchsorted(elements, mine), np.searchsorted(elements, mine, side="right")
             hit = np.flatnonzero(hi > lo)
             common = np.bincount(np.concatenate([owner[lo[i] : hi[i]] for i in hit]), minlength=len(rep)) if len(hit) else np.zeros(len(rep), np.int64)
@@ -199,9 +228,14 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _star_links(compared: DataFrame, percent: int) -> DataFrame:
     """The links within stars beyond those to the centre. Only stars with sets that do not link to it form blocks."""
-    stars = compared.groupBy("centre").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("linked"), 1)).alias("far"))
-    stars = stars.where("far > 0 AND all > 1").select("centre", F.ceil(F.col("all") / BLOCK).cast("int").alias("a_blocks"), F.ceil(F.col("far") / BLOCK).cast("int").alias("b_blocks"))
-    rows = compared.join(stars, "centre")
+    held = 8 * F.sum(F.size("more") + F.size("less"))
+    stars = compared.groupBy("centre").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(~F.col("linked"), 1)).alias("far"), held.alias("bytes")).where("far > 0 AND all > 1")
+
+    def blocks(n: str) -> Column:  # so many that a block has neither too many sets nor too many bytes
+        return F.ceil(F.greatest(F.col(n) / BLOCK, F.col("bytes") * F.col(n) / F.col("all") / BLOCK_BYTES)).cast("int")
+
+    stars = stars.select("centre", "all", blocks("all").alias("a_blocks"), blocks("far").alias("b_blocks"))
+    rows = join_counted(compared, stars, ["centre"], "all", compared.count())
     salt = F.xxhash64("rep")
     near = rows.withColumns({"far": F.lit(False), "a": F.pmod(salt, "a_blocks").cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("b_blocks") - 1))})
     far = rows.where("NOT linked").withColumns({"far": F.lit(True), "b": F.pmod(salt, "b_blocks").cast("int"), "a": F.explode(F.sequence(F.lit(0), F.col("a_blocks") - 1))})
@@ -245,93 +279,94 @@ def _pack_prefixes(sent, percent: int, buckets: int):
     return run
 
 
-STAR_PAIRS = "h long, s long, t long"
-
-
-def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, star, star) for keys that several stars have in prefixes. Rows come sorted by bucket."""
-
-    def of(bucket: int, held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        low, star = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), (np.uint32, np.int64), strict=True))
-        order = np.lexsort((star, low))
-        low, star = low[order], star[order]
-        once = np.append(True, (low[1:] != low[:-1]) | (star[1:] != star[:-1]))[: len(low)]
-        low, star = low[once], star[once]
-        at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))[: len(low)]
-        size = np.diff(np.append(at, len(low)))
-        out: list[list[np.ndarray]] = [[], [], []]
-        held_rows = 0
-        for a, n in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            i, j = np.triu_indices(n, 1) if n < 2000 else (None, None)
-            pairs = [(star[a : a + n][i], star[a : a + n][j])] if i is not None else ((np.full(n - 1 - k, star[a + k]), star[a + k + 1 : a + n]) for k in range(n - 1))
-            for s, t in pairs:
-                for column, x in zip(out, (np.full(len(s), bucket << 32 | int(low[a])), s, t), strict=True):
-                    column.append(x)
-                held_rows += len(s)
-                if held_rows > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "s", "t"])
-                    out, held_rows = [[], [], []], 0
-        if held_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "s", "t"])
-
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that several stars have in prefixes. Rows come sorted by bucket."""
     rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
     for bucket, group in groupby(rows, lambda x: x[0]):
-        yield from of(bucket, [x[1:] for x in group])
+        lows, stars = zip(*((low, star) for _, low, star in group), strict=True)
+        low, star = np.frombuffer(b"".join(lows), np.uint32), np.frombuffer(b"".join(stars), np.int64)
+        order = np.lexsort((star, low))
+        low, star = low[order], star[order]
+        several = low[1:][(low[1:] == low[:-1]) & (star[1:] != star[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + np.unique(several).astype(np.int64))], ["h"])
 
 
-def _bits(found: DataFrame) -> np.ndarray:
-    """A filter of 2**FILTER_BITS bits over keys; of fixed size, whatever their number."""
-    drop = 32 - FILTER_BITS
+def _bits(found: DataFrame) -> tuple[int, np.ndarray]:
+    """A filter over keys: its power of two of bits, eight a key within the bounds, and its words."""
+    power = max(LEAST_BITS, min(MOST_BITS, (8 * found.count()).bit_length()))
+    drop = 32 - power
     bits = found.groupBy(F.expr(f"shiftright(h & 4294967295L, {drop + 6})").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftright(h, {drop}) & 63 AS INT)))").alias("bits"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (power - 6), np.uint64)
     got = bits.toArrow()
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
+    return power, out
 
 
-ENTRIES = "h long, star long, rep long, n long, first boolean"
+ENTRIES = "h long, star long, part_of long, rep long, n long, first boolean"
 
 
 def _entries(sent, percent: int, buckets: int):
-    """The prefixes' rows that pass the filter; first: among those that the smaller of two alike sets must share one of."""
+    """The prefixes' entries that pass the filter; first: among those that the smaller of two alike sets must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bits = sent.value
+        counts, (power, bits) = sent.value
         for batch in in_parts(batches):
-            out: list[list] = [[], [], [], [], []]
-            reps, stars = (batch.column(c).to_pylist() for c in ("doc_id", "star"))
-            for i, h in enumerate(sets(batch.column("text").fill_null(""))):
+            out: list[list] = [[] for _ in range(6)]
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("star", "part_of", "doc_id")), strict=True))
+            for of, h in zip(ids, sets(batch.column("text").fill_null("")), strict=True):
                 p = _keys(_prefix(h, counts, percent), buckets)
-                bit = (p & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - FILTER_BITS)
+                bit = (p & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - power)
                 kept = np.flatnonzero(bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
                 if len(kept):
                     most = len(h) - int(needed(np.int64(len(h)), np.int64(len(h)), percent)) + 1
-                    for column, x in zip(out, (p[kept].view(np.int64), np.full(len(kept), stars[i]), np.full(len(kept), reps[i]), np.full(len(kept), len(h)), kept < most), strict=True):
+                    for column, x in zip(out, (p[kept].view(np.int64), *(np.full(len(kept), x) for x in (*of, len(h))), kept < most), strict=True):
                         column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "star", "rep", "n", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "star", "part_of", "rep", "n", "first"])
 
     return run
 
 
-def _cross_pairs(texts: DataFrame, counts: np.ndarray, entries: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (centre, rep) across stars that the bounds let pass. texts: (doc_id, star, text) of each distinct set."""
-    context = texts.sparkSession.sparkContext
-    buckets = max(2 * partitions_for(texts), entries * 12 // BUCKET_BYTES + 1)
-    packed = texts.mapInArrow(_pack_prefixes(context.broadcast(counts), percent, buckets), "bucket int, low binary, star binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = scratch.table(packed.mapInArrow(_star_pairs, STAR_PAIRS), "met")
-    entry = scratch.table(texts.mapInArrow(_entries(context.broadcast((counts, _bits(met.select("h").distinct()))), percent, buckets), ENTRIES), "entries")
-    a = entry.select(*(F.col(c).alias(f"a_{c}") for c in entry.columns))
-    b = entry.select(*(F.col(c).alias(f"b_{c}") for c in entry.columns))
-    pairs = met.join(a, (F.col("h") == F.col("a_h")) & (F.col("s") == F.col("a_star"))).join(b, (F.col("h") == F.col("b_h")) & (F.col("t") == F.col("b_star")) & (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n")))
+def _prefix_product(entry: DataFrame, percent: int) -> DataFrame:
+    """Pairs (centre, rep, n, n_centre) of different stars and components that the bounds let pass: the product of the
+    prefixes' incidence with its transpose, the rows of a column that many have in blocks."""
+    total = entry.count()
+    most = hot_from(total)
+    hot = entry.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most)  # MOST_HOT columns at most
+    hot = hot.select(F.col("h").alias("hot_h"), F.ceil(F.col("size") / most).cast("int").alias("hot_blocks"))
+    cut = entry.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left").withColumn("blocks", F.coalesce("hot_blocks", F.lit(1))) if total > most else entry.withColumn("blocks", F.lit(1))
+    own, all_ = F.pmod(F.xxhash64("rep"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    fields = ["h", "star", "part_of", "rep", "n", "first"]
+    a = cut.select(*(F.col(c).alias(f"a_{c}") for c in fields), own.alias("a_row"), all_.alias("a_column"))
+    b = cut.select(*(F.col(c).alias(f"b_{c}") for c in fields), all_.alias("b_row"), own.alias("b_column"))
+    sized = (100 * F.col("a_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("a_n"))
+    apart = (F.col("a_star") != F.col("b_star")) & (F.col("a_part_of") != F.col("b_part_of")) & (F.col("a_rep") < F.col("b_rep"))
+    met = a.join(b, (F.col("a_h") == F.col("b_h")) & (F.col("a_row") == F.col("b_row")) & (F.col("a_column") == F.col("b_column")) & sized & apart)
     smaller_first = F.when(F.struct("a_n", "a_rep") < F.struct("b_n", "b_rep"), F.col("a_first")).otherwise(F.col("b_first"))
-    counted = pairs.groupBy("a_rep", "b_rep", "a_n", "b_n").agg(F.count(F.lit(1)).alias("common"), F.max(smaller_first).alias("first"))
+    counted = met.groupBy("a_rep", "b_rep", "a_n", "b_n").agg(F.count(F.lit(1)).alias("common"), F.max(smaller_first).alias("first"))
 
-    def rest(n: str):  # shingles of a set beyond its prefix
+    def rest(n: str) -> Column:  # shingles of a set beyond its prefix
         return F.ceil(percent * F.col(n) / 100) - 1
 
-    least = F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
-    return counted.where(F.col("first") & (F.col("common") + F.greatest(rest("a_n"), rest("b_n")) >= least)).select(F.col("a_rep").alias("centre"), F.col("b_rep").alias("rep"))
+    able = F.col("first") & (F.col("common") + F.greatest(rest("a_n"), rest("b_n")) >= _needed("a_n", "b_n", percent))
+    return counted.where(able).select(F.col("a_rep").alias("centre"), F.col("b_rep").alias("rep"), F.col("b_n").alias("n"), F.col("a_n").alias("n_centre"))
+
+
+def _cross_links(texts: DataFrame, counts: np.ndarray, entries: int, buckets: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) between sets of different stars and components. texts: (doc_id, star, part_of, text) of each set;
+    entries: how many their prefixes have, about; buckets of columns, at least. Written; what it reads may go."""
+    context = texts.sparkSession.sparkContext
+    sent = context.broadcast(counts)
+    buckets = max(buckets, entries * 12 // BUCKET_BYTES + 1)
+    packed = texts.mapInArrow(_pack_prefixes(sent, percent, buckets), "bucket int, low binary, star binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    shared = scratch.table(packed.mapInArrow(_shared_keys, "h long"), "shared")
+    filtered = context.broadcast((counts, _bits(shared)))
+    entry = scratch.table(texts.mapInArrow(_entries(filtered, percent, buckets), ENTRIES), "entries")
+    cross = scratch.table(_prefix_product(entry, percent), "cross")
+    links = scratch.table(product(texts, cross, percent, scratch).select(F.col("rep").alias("a"), F.col("centre").alias("b")), name)
+    sent.destroy()
+    filtered.destroy()
+    return links
 
 
 def _named(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int | None]:
@@ -349,7 +384,7 @@ def _named(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, int | None]:
     return texts.where("doc_id IS NOT NULL").unionByName(written), highest
 
 
-def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id).
 
     Two texts link when 100 * intersection >= percent * union of their sets of distinct 5-word shingles; component_id is
@@ -364,36 +399,46 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     signed = scratch.table(texts.mapInArrow(_sign, SIGNED), "signed")
     counts = shingle_counts(signed)
     rows = signed.where("part IS NULL")
+    n_rows = rows.count()
     one = ["n", "s1", "s2"]
     reps = scratch.table(rows.where("n > 0").groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "reps")
 
     centres = scratch.table(_centres(reps, scratch), "centres")
-    scratch.drop("keyed")
-    compared = compare(texts, centres.where("rep <> centre"), parts).where(100 * F.col("overlap") >= KIN * (F.col("n") + F.col("n_centre") - F.col("overlap")))
-    compared = scratch.table(compared.withColumn("linked", 100 * F.col("overlap") >= percent * (F.col("n") + F.col("n_centre") - F.col("overlap"))), "compared")
+    scratch.drop("all-keys", "key-sizes", "keyed", "leaders")
+    compared = product(texts, centres.where("rep <> centre"), KIN, scratch, differences=True)
+    compared = scratch.table(compared.withColumn("linked", F.col("overlap") >= _needed("n", "n_centre", percent)), "compared")
     links = compared.where("linked").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     links = scratch.table(links.unionByName(_star_links(compared, percent)), "star-links")
+    parts_of = components(links, scratch, "within")
+    of = compared.select("rep", F.col("centre").alias("star")).unionByName(compared.select(F.col("centre").alias("rep"), F.col("centre").alias("star")).distinct())
+    stars = scratch.table(of.groupBy("rep").agg(F.min("star").alias("star")).join(parts_of.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "star", F.coalesce("component", "rep").alias("part_of")), "stars")
+
+    prefix = F.sum(F.floor((100 - percent) * F.col("n") / 100) + 1).alias("entries")
+    # centres of stars first
+    heads = compared.select(F.col("centre").alias("rep"), F.col("n_centre").alias("n")).distinct()
+    n_heads = heads.agg(prefix).first()["entries"]
+    if n_heads:
+        own = maybe_among(texts, "doc_id", heads, "rep", "head").where("head").drop("head").join(stars, F.col("doc_id") == F.col("rep")).where("doc_id = star").drop("rep")
+        links = links.unionByName(_cross_links(scratch.table(own, "heads"), counts, int(n_heads), parts, percent, scratch, "head-links"))
+        joined = components(links, scratch, "heads-joined").withColumnRenamed("id", "rep")
+        stars = scratch.table(stars.join(joined, "rep", "left").select("rep", "star", F.coalesce("component", "part_of").alias("part_of")), "stars-joined")
+        scratch.drop("heads")
 
     # texts that are the only ones of their set and star need no join to be told so
-    stars = reps.join(compared.select("rep", "centre"), "rep", "left").where("copies > 1 OR centre IS NOT NULL").select(*one, F.col("rep").alias("r_id"), F.coalesce("centre", "rep").alias("star"))
-    stars = scratch.table(stars, "stars")
-    kin = scratch.table(rows.select("doc_id", *one).join(stars.select(*one), one, "left_semi").select("doc_id"), "kin")
+    grouped = reps.join(stars, "rep", "left").where("copies > 1 OR star IS NOT NULL").select(*one, "copies", "rep", F.coalesce("star", "rep").alias("star"), F.coalesce("part_of", "rep").alias("part_of"))
+    grouped = scratch.table(grouped, "grouped")
+    kin = scratch.table(join_counted(rows.select("doc_id", *one), grouped.select(*one, "copies"), one, "copies", n_rows).select("doc_id"), "kin")
     told = maybe_among(texts, "doc_id", kin, "doc_id", "kin")
-    alone = told.where("NOT kin").select("doc_id", F.col("doc_id").alias("star"), "text")
-    others = reps.select("rep").join(stars.select(F.col("r_id").alias("rep"), "star"), "rep", "left").select(F.col("rep").alias("r_id"), F.coalesce("star", "rep").alias("star"))
+    alone = told.where("NOT kin").select("doc_id", F.col("doc_id").alias("star"), F.col("doc_id").alias("part_of"), "text")
+    others = reps.select("rep").join(grouped.select("rep", "star", "part_of"), "rep", "left").select("rep", F.coalesce("star", "rep").alias("star"), F.coalesce("part_of", "rep").alias("part_of"))
     met = told.where("kin").select("doc_id", "text")
-    starred = alone.unionByName(met.join(others, met["doc_id"] == others["r_id"]).select("doc_id", "star", "text"))
-    entries = reps.agg(F.sum(F.floor((100 - percent) * F.col("n") / 100) + 1)).first()[0] or 0
-    cross = scratch.table(_cross_pairs(starred, counts, int(entries), percent, scratch), "cross")
-    more = compare(texts, cross, parts).where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("n_centre") - F.col("overlap")))
-    found = components(links.unionByName(more.select(F.col("rep").alias("a"), F.col("centre").alias("b"))), scratch)
+    starred = alone.unionByName(met.join(others, met["doc_id"] == others["rep"]).select("doc_id", "star", "part_of", "text"))
+    entries = reps.agg(prefix).first()["entries"] or 0
+    found = components(links.unionByName(_cross_links(starred, counts, int(entries), 2 * parts, percent, scratch, "cross-links")), scratch)
 
-    # sets of one row that link to nothing are their own component; the others' are joined, hot sets dealt by salt
+    # sets of one row that link to nothing are their own component; the others' are joined
     of = reps.join(found.select("id", "component"), F.col("rep") == F.col("id"), "left").where("copies > 1 OR component IS NOT NULL")
-    of = of.select(*(F.col(c).alias(f"g_{c}") for c in one), F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("g_salt"))
-    on = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int") == F.col("g_salt")
-    for c in one:
-        on = on & (F.col(c) == F.col(f"g_{c}"))
-    out = rows.select("doc_id", *one).join(of, on, "left")
+    of = of.select(*one, "copies", F.coalesce("component", "rep").alias("component"))
+    out = join_counted(rows.select("doc_id", *one), of, one, "copies", n_rows, "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out if highest is None else out.withColumns({c: F.when(F.col(c) <= highest, F.col(c)) for c in ("doc_id", "component_id")})

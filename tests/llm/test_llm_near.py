@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from equireach.llm import decontaminate, ngram_join, queries
+from equireach.llm import common, decontaminate, ngram_join, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,9 +73,13 @@ def test_join_against_brute_force(spark, seed):
 
 
 def test_join_with_small_blocks_and_one_vote(spark, monkeypatch):
-    """Every way of the operator at work: stars in several blocks, and near sets that only prefixes can find."""
+    """Every way of the operator at work: stars and rows in several blocks, hot keys, and near sets that only prefixes can find."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 16)
     monkeypatch.setattr(ngram_join, "VOTES", 8)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "MOST_HOT", 20)
     r = random.Random(9)
     base = [f"v{i}" for i in range(60)]
     rows = list(enumerate(family(r, base, 60, 4) + family(r, base[::-1], 20, 6)))
