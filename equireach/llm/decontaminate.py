@@ -1,16 +1,19 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A window of a document is compared with an item of the same number of words. Only windows that hold a shingle of an
-item can be like it, so only those are fingerprinted. Fingerprints of 64 bits are looked up by BLOCKS blocks of bits:
-two fingerprints within RADIUS differ by at most RADIUS // BLOCKS bits in one block, so tables of near block values
-give every item within the radius. Candidates are then compared exactly: weighted Jaccard of 5-word shingles, a
-shingle's weight being how often it stands there.
+item can be like it, so only those are fingerprinted. Fingerprints have BLOCKS blocks of 8 bits. Of two fingerprints
+within RADIUS at most RADIUS // (NEAR + 1) blocks differ in more than NEAR bits, so at least LEAST blocks differ in
+NEAR bits or fewer: tables of near block values, one a block, count these, and every item within the radius is among
+those that reach LEAST. Of random fingerprints one in thirty does. Their whole distance is taken next, and candidates
+within the radius are compared exactly: weighted Jaccard of 5-word shingles, a shingle's weight being how often it
+stands there.
 
 The benchmark is a query set: it is sent to the executors in blocks of at most ITEM_BYTES, each met by all documents.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -20,25 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch, parts, without
+from equireach.llm.common import Scratch, mix64, parts, without
 from equireach.llm.shingles import WIDTH, ordered, shingle_hashes
 
-BLOCKS, BLOCK_BITS = 8, 8
-#: Bits in which fingerprints of like windows may differ: at a similarity of 0.75 some 11 do, 26 is five deviations more.
-RADIUS = 26
+BLOCKS = 32
+BITS = 8 * BLOCKS
+#: Bits in which fingerprints of like windows may differ: at a similarity of 0.75 some 44 of 256 do, deviation 6.
+RADIUS = 71
+#: Bits in which near blocks differ at most, and how many blocks are near if fingerprints are within the radius.
+NEAR = 2
+LEAST = BLOCKS - RADIUS // (NEAR + 1)
 ITEM_BYTES = 16_000_000
+#: Pairs of windows and items whose near blocks are counted at once.
+CELLS = 1 << 22
 FOUND = "doc_id long, item_id long, similarity double, start long, n_words long"
-_BITS = np.arange(64, dtype=np.uint64)
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+_IS_NEAR = (_POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= NEAR).astype(np.uint8)
+_LANES = mix64(np.arange(31, 31 + BITS // 64, dtype=np.uint64))
 
 
 def fingerprints(votes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """64-bit SimHashes from how many shingles of each window have each bit set."""
-    return (((2 * votes > counts[:, None]).astype(np.uint64)) << _BITS).sum(1, dtype=np.uint64)
+    """SimHashes, BLOCKS bytes each, from how many shingles of each window have each bit set."""
+    return np.packbits(2 * votes > counts[:, None], axis=1)
 
 
 def _bit_rows(h: np.ndarray) -> np.ndarray:
-    return ((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int32)
+    """BITS bits of each shingle, from its hash."""
+    return np.unpackbits(mix64(h[:, None] ^ _LANES).view(np.uint8).reshape(len(h), BLOCKS), axis=1)
 
 
 class Index:
@@ -60,19 +71,29 @@ class Index:
         self.known = np.array(sorted(self.of), np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.prints = fingerprints(np.array([_bit_rows(h).sum(0) for _, h in found]).reshape(-1, 64), np.array([len(h) for _, h in found]))
+        self.prints = fingerprints(np.array([_bit_rows(h).sum(0, dtype=np.int64) for _, h in found]).reshape(-1, BITS), np.array([len(h) for _, h in found]))
         self.sized = {int(n): np.flatnonzero(self.words == n) for n in np.unique(self.words) if n >= WIDTH}
-        near = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)] <= RADIUS // BLOCKS
-        self.tables = {n: [near[:, ((self.prints[at] >> np.uint64(b * BLOCK_BITS)) & np.uint64(255)).astype(np.int64)] for b in range(BLOCKS)] for n, at in self.sized.items()}
+        #: For items of a size, whether each is near each value of each block: (BLOCKS, 256, items).
+        self.tables = {n: np.stack([_IS_NEAR[:, self.prints[at, b]] for b in range(BLOCKS)]) for n, at in self.sized.items()}
+
+    def lookup(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs among items of a size that have at least LEAST near blocks."""
+        windows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        at = self.sized[size]
+        step = max(1, CELLS // len(at))
+        for low in range(0, len(prints), step):
+            near = np.zeros((len(prints[low : low + step]), len(at)), np.uint8)
+            for b, table in enumerate(self.tables[size]):
+                near += table[prints[low : low + step, b]]
+            window, item = np.nonzero(near >= LEAST)
+            windows.append(window + low)
+            items.append(at[item])
+        return np.concatenate(windows), np.concatenate(items)
 
     def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs within RADIUS among items of a size."""
-        hit = np.zeros((len(prints), len(self.sized[size])), bool)
-        for b, table in enumerate(self.tables[size]):
-            hit |= table[((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64(255)).astype(np.int64)]
-        window, item = np.nonzero(hit)
-        item = self.sized[size][item]
-        close = _POPCOUNT[(prints[window] ^ self.prints[item]).view(np.uint8).reshape(-1, 8)].sum(1) <= RADIUS
+        window, item = self.lookup(prints, size)
+        close = _POPCOUNT[prints[window] ^ self.prints[item]].sum(1) <= RADIUS
         return window[close], item[close]
 
     def similarity(self, h: np.ndarray, item: int) -> float:
@@ -116,14 +137,14 @@ class Index:
             np.add.at(marks, np.clip(a + 1, 0, last + 1), -1)
             starts = np.flatnonzero(np.cumsum(marks)[: last + 1] > 0)
             count = span - WIDTH + 1
-            for part in np.array_split(starts, len(starts) // 5000 + 1):
+            for part in np.array_split(starts, len(starts) // 2000 + 1):
                 if not len(part):
                     continue
                 inside = np.unique((part[:, None] + np.arange(count + 1)).reshape(-1)) if len(part) * count < 8 * len(h) else np.arange(len(h) + 1)
                 inside = inside[inside <= len(h)]
                 place = np.searchsorted(inside, np.arange(len(h) + 1)) if len(inside) < len(h) + 1 else None
                 rows = _bit_rows(h[np.minimum(inside, len(h) - 1)])
-                total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(rows, 0, dtype=np.int32)])
+                total = np.vstack([np.zeros((1, BITS), np.int32), np.cumsum(rows, 0, dtype=np.int32)])
                 low = place[part] if place is not None else part
                 prints = fingerprints(total[low + count] - total[low], np.full(len(part), count))
                 for w, item in zip(*(x.tolist() for x in self.candidates(prints, size)), strict=True):
@@ -133,29 +154,48 @@ class Index:
                         best[item] = (s, start)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[list[int], list[str]]]:
+_HELD: dict[str, Index] = {}
+
+
+def _index(key: str, sent, threshold: float) -> Index:
+    """The index of a block of the benchmark; a worker makes it once and holds the last one."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Index(*sent.value, threshold)
+    return _HELD[key]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator[tuple[list[int], list[str]]]]:
+    """How many blocks of at most ITEM_BYTES, about, the items make, and their ids and texts block by block."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // ITEM_BYTES + 1
-    for b in range(n):
+
+    def block(b: int) -> tuple[list[int], list[str]]:
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").toPandas()
-        yield got["item_id"].tolist(), got["text"].tolist()
+        return got["item_id"].tolist(), got["text"].tolist()
+
+    return n, map(block, range(n))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, similarity, start, n_words) for each document and item with a like window; the best window each.
+    """(doc_id, item_id, similarity, start, n_words) for each document and item with a like window; the best window each,
+    of equal ones the first.
 
     Null, empty and blank texts on either side match nothing; an item of fewer than five words matches as a whole
-    sequence. Rows that repeat are each reported; other columns are not read. With no items or documents, no rows.
+    sequence. Rows that repeat are each reported, with a null id too; of an item's several texts the best window of each
+    is reported. Other columns are not read. With no items or documents, no rows. A benchmark of several blocks has the
+    documents read once for each, one after another.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = []
-    for ids, texts in _blocks(benchmark, item_col, item_text_col):
-        sent = spark.sparkContext.broadcast((ids, texts))
+    n, blocks = _blocks(benchmark, item_col, item_text_col)
+    scratch, found = Scratch(spark, "benchmark") if n > 1 else None, []
+    for b, (ids, texts) in enumerate(blocks):
+        sent, key = spark.sparkContext.broadcast((ids, texts)), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(*sent.value, threshold)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index(key, sent, threshold)
             for batch in parts(batches):
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, (words, h) in zip(batch.column(0).to_pylist(), ordered(batch.column(1).fill_null("")), strict=True):
@@ -164,7 +204,11 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col:
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if i == 2 else pa.int64()) for i, x in enumerate(out)], ["doc_id", "item_id", "similarity", "start", "n_words"])
 
-        found.append(rows.mapInArrow(run, FOUND))
+        here = rows.mapInArrow(run, FOUND)
+        if scratch:
+            here = scratch.table(here, f"block-{b}")
+            sent.destroy()
+        found.append(here)
     return reduce(DataFrame.unionAll, found)
 
 

@@ -40,7 +40,7 @@ LEAST_BITS, MOST_BITS = 20, 28
 #: Keys that a set must share with its centre to be compared with it, and the similarity in percent that keeps it there.
 VOTES, KIN = 3, 50
 #: Sets of a block of the product within a star, and members that meet one copy of their centre's row.
-BLOCK = 1024
+BLOCK = 256
 #: Bytes of differences in a block of the product within a star, about.
 BLOCK_BYTES = 16_000_000
 #: N-grams of a row in one block of the product: a longer row meets its partner in several, dealt by hash.

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from equireach.llm import common, decontaminate, ngram_join, queries
@@ -155,3 +156,46 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     docs = frame(spark, [(i, f"before {t} after") for i, t in items])
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i in range(6)}
+
+
+def test_index_selects(capsys):
+    """Every pair within the radius is found, few others are looked at, and like windows are within the radius."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"x{v}" for v in r.integers(0, 5000, 40)) for _ in range(300)]
+    index = decontaminate.Index(list(range(300)), texts, 0.75)
+    bits = lambda p: np.unpackbits(p, axis=-1).astype(int)
+    prints = r.integers(0, 256, (600, decontaminate.BLOCKS), np.uint8)
+    for i in range(300):  # so many bits from an item: in and around the radius
+        flipped = bits(index.prints[i])
+        flipped[r.choice(decontaminate.BITS, decontaminate.RADIUS - 3 + i % 7, replace=False)] ^= 1
+        prints[i] = np.packbits(flipped)
+    window, item = index.lookup(prints, 40)
+    distance = (bits(prints)[:, None] != bits(index.prints)[None]).sum(2)
+    within = set(zip(*(x.tolist() for x in np.nonzero(distance <= decontaminate.RADIUS)), strict=True))
+    found = set(zip(window.tolist(), item.tolist(), strict=True))
+    share = (window >= 300).mean() * len(window) / (300 * 300)
+    assert within <= found and len(within) > 150 and share < 0.05
+    assert set(zip(*(x.tolist() for x in index.candidates(prints, 40)), strict=True)) == within
+    # pairs of shingle sets just above the threshold
+    like, near = 0, 0
+    for n in (7, 8, 15, 36, 60, 120):
+        same = -(-6 * n // 7)
+        for _ in range(300):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.append(a[:same], r.integers(0, 1 << 63, n - same).astype(np.uint64))
+            p = [decontaminate.fingerprints(decontaminate._bit_rows(x).sum(0, dtype=np.int64)[None], np.array([n]))[0] for x in (a, b)]
+            like += 1
+            near += (bits(p[0]) != bits(p[1])).sum() <= decontaminate.RADIUS
+    with capsys.disabled():
+        print(f"\nindex: {share:.3f} of random pairs reach the distance, recall within the radius 1.0; {near} of {like} pairs at the threshold are within it")
+    assert near == like
+
+
+def test_decontamination_edges(spark):
+    r = random.Random(5)
+    item = " ".join(r.choice("abcdefgh") + str(k) for k in range(30))
+    long = " ".join(f"f{k % 977}" for k in range(60_000))
+    rows = [(1, f"x {item} y"), (1, f"x {item} y"), (None, item), (2, f"{item} {item}"), (3, f"{long} {item} {long}"), (4, long)]
+    bench = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, item, 2), (None, item, 3)], "item_id long, text string, doc_id int")
+    got = sorted((x["doc_id"] or 0, x["item_id"], x["start"], x["similarity"]) for x in decontaminate.find(frame(spark, rows), bench).collect())
+    assert got == sorted((d, i, s, 1.0) for d, s in ((1, 1), (1, 1), (0, 0), (2, 0), (3, 60_000)) for i in (7, 8))
