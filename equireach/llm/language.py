@@ -3,21 +3,22 @@
 Four kinds of evidence about a text's language are multiplied: the likelihood of its byte trigrams, the language that
 its markup declares, the suffix of its address, and its host. The trigram model has every declared language and is
 fitted on a bounded sample of each one's rows, counted on the executors. How far declarations and suffixes are to be believed, and the share of each language on a
-host, come from grouped aggregation over all rows; a host's shares are smoothed by those of its domain, and these by
-those of all rows.
+host, come from grouped aggregation over all rows but the one at hand; a host's shares are smoothed by those of its domain,
+and these by those of all rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import BATCH_ROWS, Scratch, parts
+from equireach.llm.common import BATCH_ROWS, Scratch, join_counted, parts
 from equireach.llm.tokens import slices
 
 BITS = 16
@@ -43,9 +44,11 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8)
     ends -= ends[0]
-    data = np.append(_FOLD[raw], np.zeros(3, np.uint64))
-    n = len(raw)
-    rows = ((data[:n] * np.uint64(0x9E3779B1) + data[1 : n + 1] * np.uint64(0x85EBCA77) + data[2 : n + 2] * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS)
+    n, first = len(raw), _FOLD[raw]
+    second, third = np.append(first[1:], np.uint64(0))[:n], np.append(first[2:], np.zeros(2, np.uint64))[:n]
+    for after, back in ((second, 1), (third, 1), (third, 2)):  # nothing follows a text's end
+        after[(at := ends[1:] - back)[at >= 0]] = 0
+    rows = ((first * np.uint64(0x9E3779B1) + second * np.uint64(0x85EBCA77) + third * np.uint64(0xC2B2AE3D)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - BITS)
 
     def total(mask: np.ndarray) -> np.ndarray:
         return np.diff(np.append(0, np.cumsum(mask[raw]))[ends])
@@ -53,6 +56,12 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return rows.astype(np.int64), ends, total(_LETTER), total(~_SPACE)
 
 
+def letter_share(texts: pa.Array) -> np.ndarray:
+    """The share of letters among each text's non-space bytes."""
+    parts_of = [letters / np.maximum(solid, 1) for _, _, letters, solid in map(trigrams, slices(texts))]
+    return np.concatenate(parts_of) if parts_of else np.empty(0)
+
+
 class Model:
     """Log-probabilities of trigrams for each language."""
 
@@ -96,7 +105,48 @@ def host(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
+_HIDDEN = re.compile(r"(script|style)\b", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+
+
+def visible(html: str | None) -> str:
+    """A page's text: without comments, tags, scripts and styles, a space for each, entities decoded; null is empty.
+
+    Of a comment, script or style that is never closed only the tag goes; a < without > after it is text. Each end is
+    looked for once, so the time is in proportion to the page, whatever is left open.
+    """
+    if not html:
+        return ""
+    out, at, ended = [], 0, set()
+
+    def end_of(kind: str, start: int) -> int:
+        """Where what ends at the next end of this kind is over; -1 if there is none."""
+        if kind in ended:
+            return -1
+        if kind in _CLOSING:
+            found = _CLOSING[kind].search(html, start)
+            stop = found.end() if found else -1
+        else:
+            stop = html.find(kind, start)
+            stop += len(kind) if stop >= 0 else 0
+        if stop < 0:
+            ended.add(kind)
+        return stop
+
+    while (tag := html.find("<", at)) >= 0:
+        out.append(html[at:tag])
+        stop = end_of("-->", tag + 4) if html.startswith("<!--", tag) else -1
+        if stop < 0 and (hidden := _HIDDEN.match(html, tag + 1)):
+            stop = end_of(hidden[1].lower(), tag)
+        if stop < 0:
+            stop = end_of(">", tag)
+        if stop < 0:
+            at = tag
+            break
+        out.append(" ")
+        at = stop
+    out.append(html[at:])
+    return unescape("".join(out))
 
 
 def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | None = None, url: Column | None = None, host_of: Column | None = None, markup: bool = False, sample_rows: int = 3000, least_letters: float = 0.4, least_probability: float = 0.5) -> DataFrame:
@@ -106,8 +156,10 @@ def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
     bytes are letters (so null, empty and blank ones are) or no language reaches least_probability; its language is
     then `und`. Every language that a row with text declares competes; declarations that are no code say nothing. The
     model is fitted on about sample_rows rows, shared equally by the languages but at least LEAST_ROWS each, those with
-    the smallest hashes of id and text; a language with fewer gives all. If no row declares one, all are rejected. Rows
-    that repeat an id each get its result; an empty table gives an empty result.
+    the smallest hashes of id and text; a language with fewer gives all. If no row declares one, there is nothing to tell
+    languages by: texts with enough letters are accepted as `und` with probability 0. Of languages alike probable the
+    first by name is taken. Rows that repeat an id are each decided by their own text and evidence; whole texts count,
+    whatever their length; other columns are not read; an empty table gives an empty result.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "language")
     none = F.lit(None).cast("string")
@@ -116,26 +168,26 @@ def identify(rows: DataFrame, id_col: str, text_col: str, declared: Column | Non
     known = rows.select(
         F.col(id_col).cast("long").alias("id"),
         where.alias("host"),
-        F.regexp_extract(where, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+        F.when(where.contains("."), F.regexp_extract(where, r"([^.]+\.[^.]+)$", 1)).alias("domain"),
         F.when(url_host.contains("."), F.regexp_extract(url_host, r"\.([^.]+)$", 1)).alias("suffix"),
         code(declared if declared is not None else none).alias("declared"),
         F.col(text_col).cast("string").alias("text"),
     )
-    strip = (lambda t: _MARKUP.sub(" ", t or "")) if markup else (lambda t: t or "")
+    strip = visible if markup else (lambda t: t or "")
     languages, counted = _sample(known, strip, sample_rows)
     sent = spark.sparkContext.broadcast(Model(languages, *counted)) if languages else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, max(1, min(BATCH_ROWS, SCORES // max(1, len(languages))))):
             texts = pa.array([strip(t) for t in batch.column(5).to_pylist()], pa.string()) if markup else batch.column(5).fill_null("")
-            logs, letters = sent.value.score(texts) if sent else (np.zeros((len(batch), 0)), np.zeros(len(batch)))
+            logs, letters = sent.value.score(texts) if sent else (np.zeros((len(batch), 0)), letter_share(texts))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, logs.size + 1, max(1, logs.shape[1]), dtype=np.int32) if logs.shape[1] else np.zeros(len(batch) + 1, np.int32)), pa.array(logs.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(letters, pa.float64()), listed], ["id", "host", "domain", "suffix", "declared", "letters", "logs"])
 
     scored = scratch.table(known.mapInArrow(score, TEXT_ONLY), "scored")
     if not languages:
-        return scored.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("probability"), "letters", F.lit(False).alias("accepted"))
-    return _fuse(scored, languages, least_letters, least_probability)
+        return scored.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("probability"), "letters", (F.col("letters") >= least_letters).alias("accepted"))
+    return _fuse(scored, languages, least_letters, least_probability, scratch)
 
 
 def _sample(known: DataFrame, strip, sample_rows: int) -> tuple[list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,50 +226,58 @@ def _sample(known: DataFrame, strip, sample_rows: int) -> tuple[list[str], tuple
     return languages, (index, got.column("row").to_numpy().astype(np.int64), got.column("n").to_numpy())
 
 
-def _fuse(scored: DataFrame, languages: list[str], least_letters: float, least_probability: float) -> DataFrame:
-    """Posterior of each row from its text, declaration, suffix and host; arrays over languages, whatever their number."""
+def _fuse(scored: DataFrame, languages: list[str], least_letters: float, least_probability: float, scratch: Scratch) -> DataFrame:
+    """Posterior of each row from its text, declaration, suffix and host; arrays over languages, whatever their number.
+
+    What a row's host, domain, declaration and suffix say is counted over the other rows: its own part is taken off.
+    """
     top = F.array_max("logs")
     odds = F.transform("logs", lambda x: F.exp(x - top))
     total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
     # the text's own posterior by language; rows without letters say nothing
     rows = scored.withColumn("p", F.transform(odds, lambda x: x / total)).withColumn("known", F.col("letters") >= least_letters)
-    said_by = F.transform("p", lambda x: F.when(F.col("known"), x).otherwise(0.0))
+    rows = rows.withColumn("own", F.transform("p", lambda x: F.when(F.col("known"), x).otherwise(0.0)))
 
     def sums(*keys: str) -> DataFrame:
-        """(keys, i, n): the posteriors' sums by language."""
+        """(keys, i, n, size): the posteriors' sums by language, and how many rows."""
         there = rows.where(F.col(keys[0]).isNotNull()) if keys else rows
-        return there.select(*keys, F.posexplode(said_by).alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("n"))
+        return there.select(*keys, F.posexplode("own").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("n"), F.count(F.lit(1)).alias("size"))
 
     def arrays(long: DataFrame, name: str, *keys: str) -> DataFrame:
-        return long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("_l")).select(*keys, F.col("_l.n").alias(name))
+        return long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("_l"), F.max("size").alias(f"{name}_size")).select(*keys, F.col("_l.n").alias(name), f"{name}_size")
 
-    weight = np.zeros(len(languages))
+    weight, n_rows = np.zeros(len(languages)), 0
     for r in sums().collect():
-        weight[r["i"]] = r["n"] or 0.0
-    base = ((weight + 1.0) / (weight.sum() + len(languages))).tolist()
-    base_of = F.array(*(F.lit(b) for b in base))
-
-    def smooth(own: Column, parent: Column) -> Column:
-        size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, parent, lambda x, y: (x + PRIOR_ROWS * y) / (size + PRIOR_ROWS))
-
-    by_host = sums("host", "domain")
-    hosts = arrays(by_host, "n", "host", "domain").select(F.col("host").alias("host_key"), F.col("domain").alias("domain_key"), "n")
-    domains = arrays(by_host.groupBy("domain", "i").agg(F.sum("n").alias("n")), "d", "domain").select(F.col("domain").alias("domain_key"), smooth(F.col("d"), base_of).alias("domain_share"))
-    host_share = hosts.join(domains, "domain_key").select("host_key", smooth(F.col("n"), F.col("domain_share")).alias("host_share"))
-
-    def believed(key: str, name: str) -> DataFrame:
-        """P(value | language) up to a factor of the value: P(language | value) / P(language), smoothed to 1."""
-        return arrays(sums(key), "n", key).select(F.col(key).alias(f"{key}_key"), F.zip_with(smooth(F.col("n"), base_of), base_of, lambda x, b: x / b).alias(name))
-
-    said, ended = believed("declared", "said"), believed("suffix", "ended")
-    one = F.array(*(F.lit(1.0) for _ in languages))
-    out = rows.join(host_share, F.col("host") == F.col("host_key"), "left").join(said, F.col("declared") == F.col("declared_key"), "left").join(ended, F.col("suffix") == F.col("suffix_key"), "left")
+        weight[r["i"]], n_rows = r["n"] or 0.0, max(n_rows, r["size"])
+    base_of = F.array(*(F.lit(b) for b in ((weight + 1.0) / (weight.sum() + len(languages))).tolist()))
+
+    def smooth(counts: Column, parent: Column) -> Column:
+        """Shares from the counts but this row's own, and PRIOR_ROWS of the parent's."""
+        others = F.zip_with(counts, "own", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+        size = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(others, parent, lambda x, y: (x + PRIOR_ROWS * y) / (size + PRIOR_ROWS))
+
+    by_host = scratch.table(sums("host", "domain"), "by_host")
+    hosts = scratch.table(arrays(by_host, "of_host", "host", "domain"), "hosts")
+    n_hosts = hosts.count()
+    domains = arrays(by_host.where("domain IS NOT NULL").groupBy("domain", "i").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size")), "of_domain", "domain")
+    host_table = join_counted(hosts, domains, ["domain"], "of_domain_size", n_hosts, "left").select("host", "of_host", "of_host_size", "of_domain")
+    said = F.broadcast(arrays(sums("declared"), "of_declared", "declared").drop("of_declared_size"))  # codes of two or three letters
+    suffixes = arrays(sums("suffix"), "of_suffix", "suffix")
+    out = join_counted(rows, host_table, ["host"], "of_host_size", n_rows, "left").join(said, "declared", "left")
+    out = join_counted(out, suffixes, ["suffix"], "of_suffix_size", n_rows, "left")
 
     def times(a: Column, b: Column) -> Column:
         return F.zip_with(a, b, lambda x, y: x * y)
 
-    fused = times(times(times(F.col("p"), F.coalesce("host_share", base_of)), F.coalesce("said", one)), F.coalesce("ended", one))
+    def believed(counts: str) -> Column:
+        """P(value | language) up to a factor of the value: P(language | value) / P(language), smoothed to 1."""
+        one = F.array(*(F.lit(1.0) for _ in languages))
+        return F.when(F.col(counts).isNull(), one).otherwise(F.zip_with(smooth(F.col(counts), base_of), base_of, lambda x, b: x / b))
+
+    domain_share = F.when(F.col("of_domain").isNull(), base_of).otherwise(smooth(F.col("of_domain"), base_of))
+    host_share = F.when(F.col("of_host").isNull(), base_of).otherwise(smooth(F.col("of_host"), domain_share))
+    fused = times(times(times(F.col("p"), host_share), believed("of_declared")), believed("of_suffix"))
     out = out.select("id", "letters", "known", fused.alias("fused"))
     norm = F.aggregate("fused", F.lit(0.0), lambda a, x: a + x)
     best = F.array_max("fused") / norm

@@ -2,13 +2,16 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from equireach.llm import components, exact_dedup, language, queries, sharding, toxicity, warc
+from equireach.llm import common, components, exact_dedup, language, queries, sharding, toxicity, warc
 from equireach.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -170,7 +173,7 @@ def test_language(spark):
     assert len(got) == 44 and all(got[i]["language"] == ("de" if i % 2 else "en") for i in range(40))
     assert got[100]["language"] == "de" and got[102]["language"] == "en" and not got[101]["accepted"] and not got[103]["accepted"] and got[103]["language"] == "und"
     bare = spark.createDataFrame([(1, "text here", None, None)], "doc_id long, text string, lang string, source string")
-    assert [r["accepted"] for r in language.of_documents(bare).collect()] == [False] and language.of_documents(bare.limit(0)).count() == 0
+    assert [r["accepted"] for r in language.of_documents(bare).collect()] == [True] and language.of_documents(bare.limit(0)).count() == 0
 
 
 def test_host_shares_decide_where_text_says_little(spark):
@@ -184,3 +187,72 @@ def test_host_shares_decide_where_text_says_little(spark):
 def test_pages_of_the_driver(spark):
     got = queries.op5_language_id(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/pages.parquet").count() and sum(r["accepted"] for r in got) > 0.95 * len(got)
+
+
+def test_visible_text():
+    page = "a<!-- x > --><b title='1'>c</b><SCRIPT>if (a<b) d()</Script >e<style>f</style>&#252;&uuml;&amp;<script>g<!--h"
+    assert language.visible(page).split() == ["a", "c", "e", "\u00fc\u00fc&", "g<!--h"]
+    assert language.visible(None) == "" and language.visible("1 < 2") == "1 < 2" and "\u00fc" in language.visible("&#xFC;")
+    began = time.monotonic()
+    for tag in ("<!--", "<script>", "<style ", "<", "<b "):
+        assert language.visible("x " + tag * 100_000).startswith("x")
+    assert time.monotonic() - began < 20
+
+
+def fused_twin(rows, least_letters=0.4, least_probability=0.5):
+    """The fusion row by row: the text's posterior from the operator's model, all other evidence counted here."""
+    names = sorted({r["lang"] for r in rows if r["lang"] and r["text"]})
+    texts = {n: pa.array([r["text"] for r in rows if r["lang"] == n]) for n in names}
+    found = [np.unique(language.trigrams(texts[n])[0], return_counts=True) for n in names]
+    model = language.Model(names, np.repeat(np.arange(len(names)), [len(f[0]) for f in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    logs, letters = model.score(pa.array([r["text"] or "" for r in rows]))
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    own = np.where((letters >= least_letters)[:, None], p, 0.0)
+    base = (own.sum(0) + 1) / (own.sum() + len(names))
+    out = {}
+    for i, r in enumerate(rows):
+
+        def others(test, i=i):
+            return sum((own[k] for k, x in enumerate(rows) if k != i and test(x)), np.zeros(len(names)))
+
+        def smooth(n, parent):
+            return (n + language.PRIOR_ROWS * parent) / (n.sum() + language.PRIOR_ROWS)
+
+        fused = p[i] * base
+        if h := r["source"]:
+            dots = h.split(".")
+            parent = smooth(others(lambda x: x["source"] and x["source"].split(".")[-2:] == dots[-2:] and "." in x["source"]), base) if len(dots) > 1 else base  # noqa: B023
+            fused = p[i] * smooth(others(lambda x: x["source"] == h), parent)  # noqa: B023
+        if r["lang"]:
+            fused = fused * smooth(others(lambda x: x["lang"] == r["lang"]), base) / base  # noqa: B023
+        best = fused.max() / fused.sum()
+        accepted = letters[i] >= least_letters and best >= least_probability
+        out[r["doc_id"]] = (names[fused.argmax()] if accepted else "und", best if letters[i] >= least_letters else 0.0, bool(accepted))
+    return out
+
+
+def test_language_against_twin(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    r = np.random.default_rng(8)
+    words = {"en": "the and of with from this that house water", "de": "der und mit von dieses haus wasser nicht auch", "it": "il della con questo casa acqua non anche per"}
+    rows = []
+    for i in range(90):
+        mine = list(words)[i % 3]
+        text = " ".join(r.choice(words[mine].split(), r.integers(1, 30)))
+        rows.append((i, [text, "12 34 %%", None, text + " \u00e9" * 3][0 if i % 9 else i // 9 % 4], [mine, None, "en"][i % 4 % 3], [f"a{i % 3}.x.org", "b.x.org", "local", "other", None][i % 5]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("clash") for c in ("host", "logs", "own", "language", "_h")})
+    got = {x["id"]: (x["language"], x["probability"], x["accepted"]) for x in language.of_documents(df.repartition(3)).collect()}
+    want = fused_twin([dict(zip(("doc_id", "text", "lang", "source"), x, strict=True)) for x in rows])
+    assert set(got) == set(want)
+    for i, x in want.items():
+        assert got[i][0] == x[0] and got[i][2] == x[2] and got[i][1] == pytest.approx(x[1], abs=1e-5), i
+
+
+def test_language_edges(spark):
+    schema = "page_id long, url string, html string"
+    long = "<p>" + "this is the house of water and of stones " * 20_000
+    rows = [(1, "http://a.org/", f"<html lang=en>{long}"), (1, "http://a.org/", "<html lang=en>the house"), (None, None, None), (2, "no address", ""), (3, "http://\u00e4.de/x", "&#116;&#104;&#101; &#104;ouse")]
+    got = sorted((x["id"] or 0, x["accepted"], x["language"]) for x in language.of_pages(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, False, "und"), (1, True, "en"), (1, True, "en"), (2, False, "und"), (3, True, "en")]
+    assert language.of_pages(spark.createDataFrame([], schema)).count() == 0
