@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -157,6 +158,27 @@ def decode_block(mark: np.void, words: np.ndarray, table: Table) -> np.ndarray:
     return _decode(int(mark["ids"]), LANES, mark["state"], words, int(mark["at"]) // 4 + np.cumsum(n) - n, table)
 
 
+def blocks(segment: memoryview) -> Iterator[tuple[int, bytes, bytes]]:
+    """(ids before it in all files, checkpoint, words) of each block of a segment: what decode_alone() takes."""
+    _, _, _, _, before, _, n_marks, _, _, _ = HEADER.unpack_from(segment, len(MAGIC))
+    first = len(MAGIC) + HEADER.size
+    data = first + n_marks
+    for mark in np.frombuffer(segment[first:data], CHECKPOINT):
+        at = data + int(mark["at"])
+        yield before, mark.tobytes(), bytes(segment[at : at + 4 * int(mark["words"].sum(dtype=np.int64))])
+        before += int(mark["ids"])
+
+
+def decode_alone(checkpoint: bytes, words: bytes, table: Table) -> np.ndarray:
+    """The ids of one block from its checkpoint and words; ValueError where its checksum fails."""
+    mark = np.frombuffer(checkpoint, CHECKPOINT)[0].copy()
+    mark["at"] = 0
+    ids = decode_block(mark, np.frombuffer(words, "<u4"), table)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != mark["crc"]:
+        raise ValueError("a block is damaged")
+    return ids
+
+
 def segments(content: bytes):
     """The segments of a file, in order."""
     view, at = memoryview(content), 0

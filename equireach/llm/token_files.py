@@ -23,6 +23,8 @@ from equireach.llm.tokens import encoder
 
 #: Ids of a segment, about: enough for its blocks to code side by side, few enough to hold.
 SEGMENT_IDS = 4_000_000
+#: The id under which rows with a null one are written, before all others; reading gives null back.
+NO_ID = -(1 << 63)
 RAW = "part int, number long, before long, n long, doc_ids binary, lengths binary, ids binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -72,10 +74,14 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes path/part=NNNNNN/*.txt (segments) and path.table (frequencies) for all documents, in ascending id order.
 
-    A null or empty text is its end id alone; rows that repeat are written each; a row with a null id is written with id -1.
+    A null or empty text is its end id alone; rows that repeat are written each, in any order; rows with a null id come
+    first, as NO_ID, which is no other row's id (ValueError if it is).
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "token-files")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = F.col(id_col).cast("long")
+    if docs.where(own == NO_ID).take(1):
+        raise ValueError(f"the id {NO_ID} stands for rows without one")
+    rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(_tokenise(vocabulary, end_id), RAW).write.option("compression", "zstd").parquet(scratch.path("raw"))
     raw = spark.read.schema(RAW).parquet(scratch.path("raw"))
@@ -103,11 +109,42 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
     scratch.close()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; fails where a checksum does."""
+def _table(spark: SparkSession, path: str) -> np.ndarray:
     freq = spark.read.parquet(f"{path}.table").toPandas()
     table = np.zeros(int(freq["id"].max()) + 1 if len(freq) else 0, np.uint64)
     table[freq["id"]] = freq["freq"]
+    return table
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").schema("path string, modificationTime timestamp, length long, content binary").load(path).select("content")
+
+
+def read_blocks(spark: SparkSession, path: str, tasks: int) -> DataFrame:
+    """(start, ids) of every block, decoded apart from its neighbours: blocks are dealt to `tasks` tasks, whatever files
+    they come from; start is the number of ids before it."""
+    sent = spark.sparkContext.broadcast(_table(spark, path))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for segment in rans.segments(content.as_py()):
+                    for start, mark, words in rans.blocks(segment):
+                        yield pa.RecordBatch.from_pydict({"start": pa.array([start], pa.int64()), "mark": pa.array([mark]), "words": pa.array([words])})
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = rans.Table(sent.value)
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = rans.decode_alone(r["mark"], r["words"], table).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([r["start"]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], ["start", "ids"])
+
+    return _files(spark, path).mapInArrow(cut, "start long, mark binary, words binary").repartition(tasks).mapInArrow(decode, "start long, ids array<long>")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; fails where a checksum does."""
+    table = _table(spark, path)
     sent = spark.sparkContext.broadcast(table)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +158,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(before + starts), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(decode, READ)
+    found = _files(spark, path).mapInArrow(decode, READ)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -148,15 +148,17 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, id_col: st
     """One row per row of docs: (doc_id, held_out, score, predicted); only the text is an input of the score.
 
     The model is fitted on at most train_rows labelled rows whose crc32(id as text) mod 5 is not 0: those with the
-    smallest hash of their id. Null labels do not train. A null or empty text scores as no n-grams do, by the share of
-    the label; a null id is not held out. An empty table gives an empty result; other columns are not read.
+    smallest hash of their id. Null labels do not train; of an id's several labels the larger counts, of its several
+    texts the one with the smallest hash. Whole texts of these rows, and nothing else, come to the driver. A null or empty text scores as no n-grams do, by the share of
+    the label; a null id is not held out. Rows that repeat are each scored; an empty table gives an empty result; other columns are
+    not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold != 0))
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    got = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toPandas().sort_values("doc_id")
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", "label").toPandas().sort_values("doc_id")
     sent = spark.sparkContext.broadcast(fit([x or "" for x in got["text"]], [int(x) for x in got["label"]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

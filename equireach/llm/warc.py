@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch
+from equireach.llm.common import Scratch, join_counted, maybe_among
 
 CHUNK_BYTES = 4_000_000
 #: Rows of a file: its size stays under this many runs.
-RUNS_PER_FILE = 8
+RUNS_PER_FILE = 24
 READ_BYTES = 1 << 16
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Fixed values of the format.
@@ -63,6 +63,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, of: int |
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[bytes] = []
+    size = 0
 
     def run() -> pa.RecordBatch:
         if held[-1][-1]:
@@ -72,30 +73,45 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for page_id, url, html, of in zip(*(batch.column(i) for i in range(4)), strict=True):
             held.append(page_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), of.as_py()))
-            if sum(map(len, held[-1:])) + (size := getattr(run, "size", 0)) >= CHUNK_BYTES:
+            size += len(held[-1])
+            if size >= CHUNK_BYTES:
                 yield run()
                 held.clear()
-                run.size = 0
-            else:
-                run.size = size + len(held[-1])
+                size = 0
     if held:
         yield run()
 
 
+def revisits(rows: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """(page_id, sha1, size, of) of the rows (page_id, sha1, size) whose payload, of `least` bytes or more, a smaller id has.
+
+    No payload is read. Groups are counted on the map side, and the rows of a payload that very many pages have stay
+    where they are.
+    """
+    keys = scratch.table(rows.where(F.col("size") >= least).select("page_id", "sha1", "size"), "keys")
+    on = ["sha1", "size"]
+    first = keys.groupBy(*on).agg(F.min("page_id").alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = join_counted(keys, scratch.table(first, "first"), on, "n", keys.count())
+    return scratch.table(met.where("of < page_id").select("page_id", *on, "of").distinct(), "revisits")
+
+
 def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes a record for every row: a response, or a revisit of the smallest id with the same payload of `least` bytes or more.
 
-    A null payload is empty, a null url leaves the header out. Rows that repeat an id are written each; the one that is
-    a response is any of them, and the others with that id are responses too. Payloads are equal when length and SHA-1 are.
+    A null payload is empty, a null url leaves the header out; a row with a null id is a response. Rows that repeat an id
+    are written each, decided by their own payloads; several rows of a payload's smallest id are all responses. Payloads
+    are equal when length and SHA-1 are. Only rows that may be revisits are shuffled.
     """
+    scratch = Scratch(pages.sparkSession, "warc-write")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("size"))
-    first = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.select(F.col("sha1").alias("f_sha1"), F.col("size").alias("f_size"), "first_id")
-    met = rows.join(first, (F.col("sha1") == F.col("f_sha1")) & (F.col("size") == F.col("f_size")), "left")
-    of = F.when(F.col("first_id") < F.col("page_id"), F.col("first_id"))
-    members = met.select("page_id", "url", "html", of.alias("of")).mapInArrow(_members, "value binary")
+    again = revisits(rows, least, scratch)
+    told = maybe_among(rows, "page_id", again, "page_id", "maybe")
+    new = told.where("NOT maybe").select("page_id", "url", "html", F.lit(None).cast("long").alias("of"))
+    old = told.where("maybe").join(again, ["page_id", "sha1", "size"], "left").select("page_id", "url", "html", "of")
+    members = new.unionByName(old).mapInArrow(_members, "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", RUNS_PER_FILE).text(path)
+    scratch.close()
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

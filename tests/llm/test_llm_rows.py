@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -256,3 +257,65 @@ def test_language_edges(spark):
     got = sorted((x["id"] or 0, x["accepted"], x["language"]) for x in language.of_pages(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, False, "und"), (1, True, "en"), (1, True, "en"), (2, False, "und"), (3, True, "en")]
     assert language.of_pages(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_dedup_edges(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    long = "word " * 200_000
+    rows = [(None, "a b"), (1, "ab"), (None, "c  c"), (2, "cc"), (-(1 << 63), "ab"), (5, long), (3, long + " "), (None, "alone"), (None, "xy"), (None, "x y"), (None, "x y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("hash", "n", "g_n", "best", "chars")})
+    got = sorted(exact_dedup.groups(frame.repartition(3)).select("doc_id", "keep_id", "group_size", "kept").collect(), key=repr)
+    least = -(1 << 63)
+    want = [(None, None, 3, True), (1, None, 3, False), (least, None, 3, False), (None, None, 2, True), (2, None, 2, False), (5, 3, 2, False), (3, 3, 2, True), (None, None, 1, True), *[(None, None, 3, True)] * 3]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_warc_edges(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    long = "\u00fc\U0001f600" * 300_000
+    rows = [(4, "u", long), (2, "v", long), (2, "w", "other"), (2, None, "other"), (9, "x", "other"), (None, "y", "other"), (7, "z", ""), (8, "z", None), *[(20 + i, "q", "same") for i in range(8)]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("sha1", "size", "of", "n")})
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(frame.repartition(3)).collect())
+    n = len(long.encode())
+    want = [(4, n, "revisit", 2), (2, n, "response", None), (2, 5, "response", None), (2, 5, "response", None), (9, 5, "revisit", 2), (None, 5, "response", None), (7, 0, "response", None), (8, 0, "revisit", 7), (20, 4, "response", None), *[(20 + i, 4, "revisit", 20) for i in range(1, 8)]]
+    assert got == Counter(want)
+
+
+def test_toxicity_edges(spark):
+    rows = [(i, ("awful trash " if i % 2 else "kind words ") * 3) for i in range(60)] + [(1, "awful trash"), (1, "awful trash"), (None, None), (70, "awful trash " * 100_000), (71, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("label", "toxic", "score", "held_out")})
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity.score(frame.repartition(3), marks).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 1}) <= 2 and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["predicted"] for r in got if r["doc_id"] == 70} == {1} and not [r for r in got if r["doc_id"] is None][0]["held_out"]
+
+
+def draw(key, node, xxhash):
+    """The tree's descent by the definition: at each node the child with the least -ln(u) / weight."""
+    while node.children:
+        if len(node.children) > 1:
+            draws = [-np.log(((xxhash(key, c.name) % (1 << 64) >> 11) + 0.5) / (1 << 53)) / c.weight for c in node.children]
+            node = node.children[int(np.argmin(draws))]
+        else:
+            node = node.children[0]
+    return node.shard
+
+
+def test_shards_against_the_definition(spark):
+    ids = [*range(300), None]
+    frame = spark.createDataFrame([(i, "t" * ((i or 0) % 7)) for i in ids], "doc_id long, text string")
+    now, grown = sharding.tree(8), sharding.tree(9)
+    names = set()
+
+    def walk(node):
+        names.add(node.name)
+        for c in node.children:
+            walk(c)
+
+    walk(now)
+    walk(grown)
+    hashes = {(r["k"], n): r[n] for r in spark.createDataFrame([(i,) for i in ids], "k long").select("k", *(F.xxhash64("k", F.lit(n)).alias(n) for n in names)).collect() for n in names}
+    got = sharding.assign(frame).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        assert r["shard"] == draw(r["doc_id"], now, lambda k, n: hashes[k, n]) and r["grown_shard"] == draw(r["doc_id"], grown, lambda k, n: hashes[k, n])

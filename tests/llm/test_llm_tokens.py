@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from equireach.llm import packing, rans, token_counts, token_files, tokens
@@ -149,3 +150,60 @@ def test_files_hold_ids_in_order(spark, tmp_path):
         for segment in rans.segments(path.read_bytes()):
             seen += rans.decode_segment(segment, rans.Table(table))[3].tolist()
     assert seen == list(range(50))
+
+
+def test_blocks_decode_apart(spark, library, tmp_path, monkeypatch):
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma.", "delta"]) for _ in range(r.randint(0, 9000))) for _ in range(40)]
+    token_files.write(docs(spark, texts).repartition(3), f"file://{tmp_path}/out")
+    whole = np.concatenate([ids(library, t) + [2] for t in texts])
+    got = token_files.read_blocks(spark, f"file://{tmp_path}/out", 5).collect()
+    assert len(got) >= len(whole) // rans.BLOCK and sum(len(x["ids"]) for x in got) == len(whole)
+    for x in got:
+        assert whole[x["start"] : x["start"] + len(x["ids"])].tolist() == x["ids"]
+
+
+def test_token_files_with_null_and_repeated_ids(spark, library):
+    rows = [(None, "a b"), (5, "x y"), (5, "x y"), (-1, "c"), (None, "a b"), (7, "word " * 30_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit("clash"), "number": F.lit(None).cast("int")})
+    got = token_files.round_trip(frame.repartition(2)).collect()
+    lengths = {t: len(ids(library, t)) + 1 for _, t in rows}
+    at = 0
+    for x, (i, t) in zip(sorted(got, key=lambda x: x["start"]), [rows[0], rows[4], rows[3], rows[1], rows[2], rows[5]], strict=True):
+        assert (x["doc_id"], x["start"], x["n_tokens"]) == (i, at, lengths[t])
+        at += lengths[t]
+    with pytest.raises(ValueError):
+        token_files.round_trip(spark.createDataFrame([(-(1 << 63), "x")], "doc_id long, text string"))
+
+
+def test_counts_of_all_kinds_of_text(spark, library):
+    """Every pre-token goes through the table: those in it, and those that it lacks; null and repeated ids."""
+    r = random.Random(6)
+    pieces = [*"ab cd  \n\t.,'s\u00e9\u4e2d1\u00bd_-\x1c\u00a0\u3000", "'s", "'ll", " '", "<|endoftext|>", "  ", "lorem", "ipsum,", " dolor"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(600)] + ["lorem ipsum " * 40_000]
+    frame = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 50 != 0, F.col("doc_id")))
+    got = token_counts.count_tokens(frame.unionAll(frame.limit(3)), table_docs=300, table_size=50).collect()
+    assert len(got) == len(texts) + 3 and sum(x["doc_id"] is None for x in got) >= 13
+    assert all(x["n_tokens"] == len(ids(library, texts[x["doc_id"]])) for x in got if x["doc_id"] is not None)
+    table = token_counts.frequent_lengths(frame, VOCABULARY, "doc_id", "text", 300, 50)
+    assert len(table) == 50 and " dolor" in table and all(n == len(ids(library, p)) for p, n in table.items() if "<" not in p)
+
+
+def test_packing_edges(spark, library):
+    texts = ["alpha beta gamma. " * 2000, "", None, "alpha beta", "alpha beta"]
+    rows = [(i if i != 4 else 3, t) for i, t in enumerate(texts)] + [(None, "alpha")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"length": F.lit("clash"), "sequence_id": F.lit("clash")})
+    got = packing.pack(frame.repartition(3), context=128).collect()
+    spans = {}
+    for x in got:
+        spans.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for pieces in spans.values():
+        pieces.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(pieces[:-1], pieces[1:], strict=True)) and sum(n for _, n in pieces) <= 128
+    held = Counter()
+    for x in got:
+        held[x["doc_id"]] += x["length"]
+    want = Counter()
+    for i, t in rows:
+        want[i] += len(ids(library, t)) + 1
+    assert held == want and len(spans) <= 1.1 * sum(want.values()) / 128 + 1
