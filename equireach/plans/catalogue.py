@@ -7,6 +7,7 @@ cannot hold (free text, coordinates, polygons, scenarios) is derived from their
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from equireach.functions import clean, geo, text
 from equireach.operators import catchment, concentration, decomposition, facilities, panel, regression, spatial, weighted
+from equireach.sources import geojson, sinks, yearly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -380,21 +382,57 @@ def wgs84_to_gcj02(spark, sf_dir):
     return _flat(_points(spark, sf_dir), geo.wgs84_to_gcj02(F.col("lng"), F.col("lat")))
 
 
-@query(f"SELECT c_custkey, round({_LNG}, 4) AS lng, round({_LAT}, 4) AS lat FROM customer WHERE {_LNG} BETWEEN 74 AND 134 AND {_LAT} BETWEEN 4.5 AND 53")
-def gcj02_to_wgs84(spark, sf_dir):
-    """There and back: the inverse of the image of points well inside the box is the points."""
-    there = _points(spark, sf_dir).where("lng BETWEEN 74 AND 134 AND lat BETWEEN 4.5 AND 53").withColumn("g", geo.wgs84_to_gcj02(F.col("lng"), F.col("lat")))
-    return _flat(there, geo.gcj02_to_wgs84(F.col("g.lng"), F.col("g.lat")), 4)
+def _shift_sql(points: str) -> str:
+    """points with dlng and dlat, the transform's shift at (lng, lat)."""
+    terms = f"SELECT *, lng - 105 AS x, lat - 35 AS y, 1 - 0.00669342162296594323 * pow(sin(lat / 180 * pi()), 2) AS magic FROM ({points})"
+    return f"""SELECT *, (-100 + 2 * x + 3 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * sqrt(abs(x)) + {_WAVE} + (20 * sin(y * pi()) + 40 * sin(y / 3 * pi())) * 2 / 3 + (160 * sin(y / 12 * pi()) + 320 * sin(y * pi() / 30)) * 2 / 3)
+            * 180 / ((6378245.0 * (1 - 0.00669342162296594323)) / (magic * sqrt(magic)) * pi()) AS dlat,
+        (300 + x + 2 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * sqrt(abs(x)) + {_WAVE} + (20 * sin(x * pi()) + 40 * sin(x / 3 * pi())) * 2 / 3 + (150 * sin(x / 12 * pi()) + 300 * sin(x / 30 * pi())) * 2 / 3)
+            * 180 / (6378245.0 / sqrt(magic) * cos(lat / 180 * pi()) * pi()) AS dlng FROM ({terms})"""
 
 
-@query()
-def gcj02_to_wgs84_all(spark, sf_dir):
+_INSIDE = "lng > 73.66 AND lng < 135.05 AND lat > 3.86 AND lat < 53.55"
+
+
+def _inverse_sql(images: str) -> str:
+    """The inverse of images (c_custkey, lng, lat): 30 turns of correction by the residual."""
+    state = "SELECT c_custkey, turn, g_lng, g_lat, converged, lng, lat FROM it WHERE turn < 30"
+    done = "(converged OR (abs(g_lng - lng - dlng) <= 1e-6 AND abs(g_lat - lat - dlat) <= 1e-6))"
+    return f"""WITH RECURSIVE it AS (SELECT c_custkey, 0 AS turn, lng AS g_lng, lat AS g_lat, NOT ({_INSIDE}) AS converged, lng, lat FROM ({images})
+        UNION ALL SELECT c_custkey, turn + 1, g_lng, g_lat, {done}, CASE WHEN {done} THEN lng ELSE g_lng - dlng END, CASE WHEN {done} THEN lat ELSE g_lat - dlat END FROM ({_shift_sql(state)}))
+        SELECT c_custkey, round(lng, 6) AS lng, round(lat, 6) AS lat, converged FROM it WHERE turn = 30"""
+
+
+_IMAGE_SQL = f"SELECT c_custkey, CASE WHEN {_INSIDE} THEN lng + dlng ELSE lng END AS lng, CASE WHEN {_INSIDE} THEN lat + dlat ELSE lat END AS lat FROM ({_shift_sql(f'SELECT c_custkey, {_LNG} AS lng, {_LAT} AS lat FROM customer')})"
+_GCJ_OF_BD_SQL = f"""SELECT c_custkey, z * cos(t) AS lng, z * sin(t) AS lat FROM (SELECT c_custkey, sqrt(x * x + y * y) - 0.00002 * sin(y * {_X_PI}) AS z, atan2(y, x) - 0.000003 * cos(x * {_X_PI}) AS t
+    FROM (SELECT c_custkey, {_LNG} - 0.0065 AS x, {_LAT} - 0.006 AS y FROM customer))"""
+
+
+@query(_inverse_sql(_IMAGE_SQL))
+def gcj02_to_wgs84(spark, sf_dir):
     """There and back for every customer, with converged. Near the box's edge an image may lie outside, where the inverse
-    is the image itself; SQL has no such loop."""
+    is the image itself."""
     there = _points(spark, sf_dir).withColumn("g", geo.wgs84_to_gcj02(F.col("lng"), F.col("lat"))).withColumn("p", geo.gcj02_to_wgs84(F.col("g.lng"), F.col("g.lat")))
     return there.select("c_custkey", F.round("p.lng", DIGITS).alias("lng"), F.round("p.lat", DIGITS).alias("lat"), "p.converged")
 
 
+@query(_inverse_sql(_GCJ_OF_BD_SQL))
+def bd09_to_wgs84(spark, sf_dir):
+    p = geo.bd09_to_wgs84(F.col("lng"), F.col("lat"))
+    return _points(spark, sf_dir).withColumn("p", p).select("c_custkey", F.round("p.lng", DIGITS).alias("lng"), F.round("p.lat", DIGITS).alias("lat"), "p.converged")
+
+
+@query(f"WITH w AS ({_inverse_sql(_GCJ_OF_BD_SQL)}) SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN lng END AS lng, CASE WHEN c_custkey % 7 <> 0 THEN lat END AS lat FROM w")
+def to_wgs84_columns(spark, sf_dir):
+    """The columns of a facility table, as text, every seventh not a number."""
+
+    def text_of(c: str) -> Column:
+        return F.when(F.col("c_custkey") % 7 == 0, "n/a").otherwise(F.col(c).cast("string")).alias(f"{c}_bd08")
+
+    out = facilities.to_wgs84(_points(spark, sf_dir).select("c_custkey", text_of("lng"), text_of("lat")))
+    return out.select("c_custkey", F.round("lng", DIGITS).alias("lng"), F.round("lat", DIGITS).alias("lat"))
+
+
 @query(f"SELECT c_custkey, NOT ({_LNG} > 73.66 AND {_LNG} < 135.05 AND {_LAT} > 3.86 AND {_LAT} < 53.55) AS outside FROM customer")
 def out_of_china(spark, sf_dir):
     return _points(spark, sf_dir).select("c_custkey", geo.out_of_china(F.col("lng"), F.col("lat")).alias("outside"))
@@ -409,21 +447,10 @@ def valid_time_unpivot(spark, sf_dir):
     return facilities.assign_to_years(wide)
 
 
-@query("""WITH sup AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE 'n' || (s_suppkey % 40) END AS name, s_suppkey AS "2014" FROM supplier),
-    base AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 'n' || (c_custkey % 50) END AS name, c_custkey AS "2014", c_name AS addr_x FROM customer WHERE c_custkey <= 100)
-    SELECT sup.name, sup."2014", base."2014" AS "2014_base", addr_x, addr_x AS addr FROM sup LEFT JOIN base ON sup.name IS NOT DISTINCT FROM base.name""")
-def metadata_left_join_nullsafe(spark, sf_dir):
-    s, c = F.col("s_suppkey"), F.col("c_custkey")
-    sup = _table(spark, sf_dir, "supplier").select(F.when(s % 10 != 0, F.concat(F.lit("n"), (s % 40).cast("string"))).alias("name"), s.alias("2014"))
-    base = _table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.when(c % 50 != 0, F.concat(F.lit("n"), (c % 50).cast("string"))).alias("name"), c.alias("2014"), F.col("c_name").alias("addr_x"))
-    return facilities.merge_metadata(base, sup)
-
-
 @query("""WITH sup AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE 'n' || (s_suppkey % 40) END AS name, s_suppkey AS "2014" FROM supplier),
     base AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE 'n' || (c_custkey % 50) END AS name, c_custkey AS "2014", c_name AS addr_x FROM customer)
     SELECT sup.name, sup."2014", base."2014" AS "2014_base", addr_x, addr_x AS addr FROM sup LEFT JOIN base ON sup.name IS NOT DISTINCT FROM base.name""")
-def metadata_left_join_nullsafe_all(spark, sf_dir):
-    """metadata_left_join_nullsafe with every customer in the base."""
+def metadata_left_join_nullsafe(spark, sf_dir):
     s, c = F.col("s_suppkey"), F.col("c_custkey")
     sup = _table(spark, sf_dir, "supplier").select(F.when(s % 10 != 0, F.concat(F.lit("n"), (s % 40).cast("string"))).alias("name"), s.alias("2014"))
     base = _table(spark, sf_dir, "customer").select(F.when(c % 50 != 0, F.concat(F.lit("n"), (c % 50).cast("string"))).alias("name"), c.alias("2014"), F.col("c_name").alias("addr_x"))
@@ -446,15 +473,8 @@ def recode_isin(spark, sf_dir):
     return df.select("o_orderkey", clean.recode(F.col("o_orderpriority"), {"1-URGENT": "high", "2-HIGH": "high"}).alias("priority"))
 
 
-@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_totalprice FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997")
-def union_years(spark, sf_dir):
-    parts = [_table(spark, sf_dir, "orders").where(F.year("o_orderdate") == y).select("o_orderkey", F.lit(y).alias("year"), "o_totalprice") for y in (1996, 1997)]
-    return parts[0].unionByName(parts[1])
-
-
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_totalprice FROM orders WHERE o_orderdate IS NOT NULL")
-def union_years_all(spark, sf_dir):
-    """union_years of every year that the table has."""
+def union_years(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders")
     years = sorted(r["y"] for r in orders.select(F.year("o_orderdate").alias("y")).where("y IS NOT NULL").distinct().collect())
     parts = [orders.where(F.year("o_orderdate") == y).select("o_orderkey", F.lit(y).alias("year"), "o_totalprice") for y in years]
@@ -514,23 +534,11 @@ def mean_density(spark, sf_dir):
     return out.select("n_name", F.round("pop_density_mean", 4).alias("pop_density_mean"))
 
 
-@query("""WITH c AS (SELECT c_custkey, 'r' || (c_custkey % 12) AS city, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS acc_2014, 1.0 AS gini_2014 FROM customer),
-    p AS (SELECT 'r' || n_nationkey AS prov, n_nationkey * 2.0 AS acc_2014, n_nationkey * 3.0 AS gini_2014 FROM nation WHERE n_nationkey < 9)
-    SELECT c_custkey, city, CASE WHEN m THEN p.acc_2014 ELSE c.acc_2014 END AS acc_2014, CASE WHEN m THEN p.gini_2014 ELSE c.gini_2014 END AS gini_2014
-    FROM (SELECT *, acc_2014 IS NULL AND city IN ('r1', 'r5', 'r7', 'r11') AS m FROM c) c LEFT JOIN p ON prov = city""")
-def fallback_join_muni(spark, sf_dir):
-    k, n = F.col("c_custkey"), F.col("n_nationkey")
-    cities = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("r"), (k % 12).cast("string")).alias("city"), F.when(k % 3 == 0, F.col("c_acctbal")).alias("acc_2014"), F.lit(1.0).alias("gini_2014"))
-    table = _table(spark, sf_dir, "nation").where("n_nationkey < 9").select(F.concat(F.lit("r"), n.cast("string")).alias("prov"), (n * 2.0).alias("acc_2014"), (n * 3.0).alias("gini_2014"))
-    return panel.fill_from(cities, table, "city", "prov", ["acc_2014", "gini_2014"], "acc_2014", ["r1", "r5", "r7", "r11"])
-
-
 @query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 24 = 5 THEN 'none' ELSE 'r' || (c_custkey % 12) END AS city, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS acc_2014, 1.0 AS gini_2014 FROM customer),
     p AS (SELECT 'r' || n_nationkey AS prov, n_nationkey * 2.0 AS acc_2014, n_nationkey * 3.0 AS gini_2014 FROM nation)
     SELECT c_custkey, city, CASE WHEN m THEN p.acc_2014 ELSE c.acc_2014 END AS acc_2014, CASE WHEN m THEN p.gini_2014 ELSE c.gini_2014 END AS gini_2014
     FROM (SELECT *, acc_2014 IS NULL AND city IN ('r1', 'r5', 'r7', 'r11', 'none') AS m FROM c) c LEFT JOIN p ON prov = city""")
-def fallback_join_muni_all(spark, sf_dir):
-    """fallback_join_muni with every nation's row, and a municipality that no nation has."""
+def fallback_join_muni(spark, sf_dir):
     k, n = F.col("c_custkey"), F.col("n_nationkey")
     cities = _table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 24 == 5, "none").otherwise(F.concat(F.lit("r"), (k % 12).cast("string"))).alias("city"), F.when(k % 3 == 0, F.col("c_acctbal")).alias("acc_2014"), F.lit(1.0).alias("gini_2014"))
     table = _table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), n.cast("string")).alias("prov"), (n * 2.0).alias("acc_2014"), (n * 3.0).alias("gini_2014"))
@@ -645,3 +653,177 @@ def shapley_scaled(spark, sf_dir):
 def waterfall(spark, sf_dir):
     rows = decomposition.waterfall(decomposition.contribution_rows(_found(spark, sf_dir), "accessibility"))
     return _rounded(rows.select("indicator", "factor", "position", "start", "end", "colour"))
+
+
+# ---- levels, sources, models over groups -------------------------------------------------------------------------------
+
+_LEVELS = {"national": (), "priority": ("priority",), "year": ("year",), "both": ("priority", "year")}
+
+
+def _levels_sql() -> str:
+    parts = []
+    for level, keys in _LEVELS.items():
+        missing = [f"{none} AS {k}" for k, none in (("priority", "'all'"), ("year", "CAST(0 AS INT)")) if k not in keys]
+        found = _stats_sql(f"SELECT {', '.join([*keys, 'acc', 'pop'])} FROM cells", ", ".join(keys))
+        parts.append(f"SELECT {', '.join([f'{level!r} AS level', *missing, '*'])} FROM ({found})")
+    return " UNION ALL BY NAME ".join(parts)
+
+
+@query(_levels_sql())
+def acc_stats_at_levels(spark, sf_dir):
+    """Four grouping levels from one read."""
+    return _rounded(weighted.stats_at_levels(cells(spark, sf_dir), _LEVELS)).fillna({"priority": "all", "year": 0})
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{sinks.scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH y AS (SELECT CAST(year(o_orderdate) AS INT) AS year, o_totalprice AS acc, o_custkey % 10 AS pop FROM orders)
+    SELECT year, count(*) AS grid_num, CAST(sum(pop) AS DOUBLE) AS pop_num, round(sum(acc * pop) / sum(pop), 4) AS pop_mean FROM y WHERE pop > 0 AND year NOT IN (1998, 1999) GROUP BY year""")
+def yearly_files(spark, sf_dir):
+    """Yearly grid files, written and read back: a year without a file and one without the needed column are left out."""
+    folder = _folder(spark, "yearly-files")
+    grid = _table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("acc"), (F.col("o_custkey") % 10).alias("pop"), F.col("o_orderstatus").alias("省级"))
+    years = sorted(r["y"] for r in grid.select("y").distinct().collect())
+    for y in years:
+        name = "national_{}_sample.csv" if y % 2 else "national_{}.csv"
+        if y != 1999:
+            sinks.write_csv(grid.where(F.col("y") == y).drop("y", *(["省级"] if y == 1998 else [])), f"{folder}/{name.format(y)}", bom=y % 3 == 0)
+    rows = yearly.load_years(spark, folder, [*years, 2030], need="省级")
+    x, w = clean.to_double(F.col("acc")), clean.to_double(F.col("pop"))
+    return rows.withColumns({"x": x, "w": w}).where("w > 0").groupBy("year").agg(F.count(F.lit(1)).alias("grid_num"), F.sum("w").alias("pop_num"), F.round(F.sum(F.col("x") * F.col("w")) / F.sum("w"), 4).alias("pop_mean"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_totalprice, o_orderstatus FROM orders")
+def yearly_folders(spark, sf_dir):
+    """A CSV folder for each year, written and read back whole."""
+    path = _folder(spark, "yearly-folders")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice", "o_orderstatus")
+    sinks.write_by(orders, path, ["year"])
+    return yearly.csv(spark, path, "o_orderkey long, o_totalprice double, o_orderstatus string, year int")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS grid_id, n_nationkey * 3.0 + 0.5 AS lng, n_regionkey * 2.0 + 1.0 AS lat, CASE WHEN n_nationkey % 4 = 1 THEN 0.0 ELSE n_nationkey * 10.0 END AS pop FROM nation""")
+def grid_features(spark, sf_dir):
+    """A GeoJSON file with a feature on each line, written from every nation and read back."""
+    path, i = _folder(spark, "grid"), F.col("n_nationkey")
+    w, s = i * 3.0, F.col("n_regionkey") * 2.0
+    corners = F.array(*(F.array(a, b) for a, b in ((w, s), (w + 1, s), (w + 1, s + 2), (w, s + 2), (w, s))))
+    total = F.when(i % 4 == 1, "none").otherwise((i * 10).cast("string"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(i.cast("string").alias("grid_id"), total.alias("sum")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates")).alias("geometry"))
+    _table(spark, sf_dir, "nation").select(F.concat(F.to_json(feature), F.lit(",")).alias("value")).write.text(path)
+    return geojson.grid(spark, path).select("grid_id", F.round("lng", DIGITS).alias("lng"), F.round("lat", DIGITS).alias("lat"), "pop")
+
+
+_BY_FLAG_SQL = """d AS (SELECT l_returnflag AS level, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+    s AS (SELECT level, count(*) AS n, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx FROM d GROUP BY level),
+    e AS (SELECT level, sum(pow(y - a - b * x, 2) * pow(x - mx, 2)) / pow(any_value(sxx), 2) AS v FROM d JOIN s USING (level) GROUP BY level),
+    t AS (SELECT sum(n) AS n, 2 * count(*) AS k FROM s)"""
+
+
+def _by_flag(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("level"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return df, sorted(r["level"] for r in df.select("level").distinct().collect())
+
+
+@query(f"WITH {_BY_FLAG_SQL} SELECT 'x' AS variable, level, round(b, 6) AS effect, round(sqrt(t.n / (t.n - t.k) * v), 6) AS se FROM s JOIN e USING (level), t")
+def marginal_effects(spark, sf_dir):
+    """Effects at each level of a model with a variable times levels: with all interactions they are each level's own slope."""
+    df, levels = _by_flag(spark, sf_dir)
+    fit = regression.ols_hc1(df, "y", regression.design([], "level", levels, levels[-1], interacted=["x"]))
+    rows = regression.marginal_effects(fit, ["x"], levels, levels[-1])
+    out = spark.createDataFrame(rows, "variable string, level string, effect double, se double, low double, high double, p double")
+    return _rounded(out.select("variable", "level", "effect", "se"))
+
+
+@query(f"WITH {_BY_FLAG_SQL} SELECT level, 'y' AS metric, round(b, 6) AS effect FROM s UNION ALL SELECT level, 'twice', round(2 * b, 6) FROM s")
+def total_effects(spark, sf_dir):
+    """The effect table of two models fitted together."""
+    df, levels = _by_flag(spark, sf_dir)
+    terms = regression.design([], "level", levels, levels[-1], interacted=["x"])
+    fits = regression.fit_all(df.withColumn("twice", 2 * F.col("y")), {"y": ("y", terms), "twice": ("twice", terms)})
+    rows = [(x, m, regression.total_effect(f, "x", x, levels[-1])[0]) for m, f in fits.items() for x in levels]
+    return _rounded(spark.createDataFrame(rows, "level string, metric string, effect double"))
+
+
+@query("""WITH d AS (SELECT l_quantity AS x, l_discount AS z, l_extendedprice / 1000 AS y FROM lineitem)
+    SELECT 'by_x' AS model, count(*) AS n, round(regr_slope(y, x), 6) AS coef, round(regr_r2(y, x), 6) AS r2 FROM d UNION ALL SELECT 'by_z', count(*), round(regr_slope(y, z), 6), round(regr_r2(y, z), 6) FROM d""")
+def model_set(spark, sf_dir):
+    """Several models in the same passes."""
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), F.col("l_discount").alias("z"), (F.col("l_extendedprice") / 1000).alias("y"))
+    fits = regression.fit_all(df, {"by_x": ("y", regression.design(["x"])), "by_z": ("y", regression.design(["z"]))})
+    return _rounded(spark.createDataFrame([(m, f.n, float(f.beta[1]), float(f.r2)) for m, f in fits.items()], "model string, n long, coef double, r2 double"))
+
+
+# ---- scalar rules over whole tables ------------------------------------------------------------------------------------
+
+@query("SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 4 > 1 THEN s_acctbal END, 5.0) AS beds FROM supplier")
+def beds_default(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    raw = F.when(k == 1, "n/a").when(k != 0, F.col("s_acctbal").cast("string"))
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", catchment.beds_or_default(raw).alias("beds"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 > 2 THEN c_acctbal END AS v FROM customer")
+def finite_or_null(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    v = F.when(k == 0, float("inf")).when(k == 1, float("-inf")).when(k == 2, float("nan")).otherwise(F.col("c_acctbal"))
+    return clean.finite_frame(_table(spark, sf_dir, "customer").select("c_custkey", v.alias("v")))
+
+
+@query("""SELECT c_custkey AS grid_id, c_acctbal AS pop, CAST(0.0 AS DOUBLE) AS acc, CAST(-1.0 AS DOUBLE) AS "nearest_L3_time" FROM customer""")
+def no_facility(spark, sf_dir):
+    """Cells of regions whose facilities are all of lower levels, under the rule that only level 3 counts."""
+    none = _facilities(spark, sf_dir).withColumn("grade", F.lit("Level1"))
+    return catchment.two_step(none, _grids(spark, sf_dir), _od(spark, sf_dir))[1]
+
+
+@query("SELECT o_orderkey, printf('%.0f', o_totalprice / 10000) AS label FROM orders")
+def axis_label(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.ten_thousands(F.col("o_totalprice")).alias("label"))
+
+
+@query("SELECT c_custkey, (c_acctbal - 500 > 0) OR (c_acctbal + 500 < 0) AS excludes FROM customer")
+def interval_excludes_zero(spark, sf_dir):
+    v = F.col("c_acctbal")
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.excludes_zero(v - 500, v + 500).alias("excludes"))
+
+
+@query("""WITH t AS (SELECT c_custkey, c_custkey % 6 AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS a FROM customer)
+    SELECT c_custkey, CASE k WHEN 0 THEN 'Megacity' WHEN 1 THEN 'Super Large City' WHEN 2 THEN 'Large City' ELSE 'Medium/Small City' END AS city_level_4, CAST(k AS INT) AS city_level_ordinal, a AS "city_SEE", CAST(2.0 AS DOUBLE) AS "city_CIE", a + 2 AS "city_TotalExpansion" FROM t WHERE k < 4""")
+def city_panel_loaded(spark, sf_dir):
+    k = F.col("c_custkey") % 6
+    level = F.element_at(F.array(*(F.lit(x) for x in (*regression.LEVELS, "Other"))), (F.least(k, F.lit(4)) + 1).cast("int"))
+    raw = _table(spark, sf_dir, "customer").select("c_custkey", F.when(k != 5, level).alias("city_level"), F.when(F.col("c_custkey") % 5 == 0, "?").otherwise(F.col("c_acctbal").cast("string")).alias("city_SEE"), F.lit("2").alias("city_CIE"))
+    return regression.load_city_panel(raw).select("c_custkey", "city_level_4", "city_level_ordinal", "city_SEE", "city_CIE", "city_TotalExpansion")
+
+
+_PANEL_SQL = """y AS (SELECT CASE n_nationkey WHEN 0 THEN '北京市' ELSE n_name END AS city, n_nationkey AS key, CAST(year(o_orderdate) AS INT) + 18 AS year, sum(o_totalprice) AS v, count(*) AS n
+        FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+    e AS (SELECT city, key, key % 5 AS k, avg(n) AS pop, sum(v) AS new, sum(n) AS grown, max(v) FILTER (WHERE year = 2014) AS a, max(v) FILTER (WHERE year = 2018) AS b FROM y GROUP BY city, key),
+    g AS (SELECT city, avg(v) AS density, avg(n) AS net, sum(n) / sum(v) AS rate, arg_min(v, year) AS first, arg_max(v, year) AS last FROM y WHERE year BETWEEN 2014 AND 2023 GROUP BY city)"""
+
+
+@query(f"""WITH {_PANEL_SQL} SELECT 'p' || k AS prov, city, CASE k WHEN 0 THEN 'Large City' WHEN 1 THEN 'Medium/Small City' ELSE 'Megacity' END AS city_level, {_r('pop', 'city_pop')}, round(new, 2) AS beds, round(new / pop * 10000, 1) AS see, {_r('(new - grown) / pop', 'dominance')},
+    round(a, 2) AS gdp, {_r('(b - a) / a', 'gdp_growth')}, {_r('net', 'net')}, {_r('rate * 1000', 'net_rate')}, {_r('(last - first) / first', 'growth_rate')}, round(density, 4) AS density,
+    CASE WHEN key % 3 <> 0 THEN key * 1.0 WHEN key = 0 THEN 7.5 WHEN key % 2 = 0 THEN key * 2.0 END AS acc_2014 FROM e LEFT JOIN g USING (city)""")
+def regression_panel(spark, sf_dir):
+    """The whole panel: sums by city, controls, baselines from the city, else the municipality's province, else the county."""
+    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    key = F.col("n_nationkey")
+    city = F.when(key == 0, "北京市").otherwise(F.col("n_name"))
+    met = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == key)
+    years = met.groupBy(city.alias("城市"), "n_nationkey", (F.year("o_orderdate") + 18).alias("year")).agg(F.sum("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
+    level = F.when(key % 5 == 0, "Type I Large City").when(key % 5 == 1, "Small City").otherwise("Megacity")
+    cities = years.select(F.concat(F.lit("p"), (key % 5).cast("string")).alias("省级"), F.col("城市").alias("地级"), level.alias("city_level"), F.col("n").alias("city_pop"), F.col("v").alias("new_hosp_beds"), F.col("n").cast("double").alias("expanded_beds"), *(F.lit(1.0).alias(c) for c in panel.SUMMED[2:]))
+    gdp = years.where("year IN (2014, 2018)").select("城市", F.when(F.col("year") == 2018, 2023).otherwise(F.col("year")).alias("year"), F.col("v").alias("GDP_per"))
+    flow = years.select("城市", F.col("year").alias("年份"), F.col("n").alias("人口净流入(万人)"), F.col("v").alias("户籍人口数(万人)"), F.col("v").alias("常住人口数(万人)"))
+    density = years.select("城市", F.col("year").alias("年份"), F.col("v").alias("人口密度(人／平方公里)"))
+
+    def stats(rows: DataFrame, name: str, value: Column) -> DataFrame:
+        return rows.select(F.lit(2014).alias("Year"), city.alias(name), *(value.alias(c) for c in panel.BASELINES))
+
+    out = panel.regression_panel(cities, gdp, flow, density, stats(nation, "省级", F.lit(7.5)), stats(nation.where(key % 3 != 0), "地级", key * 1.0), stats(nation.where(key % 2 == 0), "县级", key * 2.0))
+    shown = {"city_pop": ("city_pop", 6), "beds": ("new_hosp_beds", 2), "see": ("city_SEE", 1), "gdp": ("GDP_2014", 2), "gdp_growth": ("GDP_growth_pct", 6), "net": ("Ppo_NetIn", 6), "growth_rate": ("ResPop_growth_rate", 6), "density": ("pop_density_mean", 4)}
+    return out.select(F.col("省级").alias("prov"), F.col("地级").alias("city"), "city_level", *(F.round(c, n).alias(name) for name, (c, n) in shown.items()), F.round(F.col("Dominance") / 10000, 6).alias("dominance"), F.round(F.col("Ppo_NetIn_rate") * 1000, 6).alias("net_rate"), "acc_2014")

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from equireach.sources.yearly import exists
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the driver and the executors share for files in passing: spark.checkpoint.dir, else the warehouse."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (own or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False, bom: bool = False) -> None:
     """A folder of CSV files with headers; single: one file, for small results, made by one task after the others have
     done their work. bom: the files begin with a byte order mark, as spreadsheet programs want it."""

@@ -23,15 +23,15 @@ def both(spark, name):
 
 
 def test_metadata_join_takes_every_customer(spark):
-    got, want = both(spark, "metadata_left_join_nullsafe_all")
+    got, want = both(spark, "metadata_left_join_nullsafe")
     assert got == want
-    met = {r["2014_base"] for r in catalogue.metadata_left_join_nullsafe_all(spark, SF).collect()}
+    met = {r["2014_base"] for r in catalogue.metadata_left_join_nullsafe(spark, SF).collect()}
     assert {101, 109} <= met
 
 
 def test_inverse_takes_every_customer(spark):
     sf = "/root/testdata/sf0.01"
-    got = {r["c_custkey"]: r for r in catalogue.QUERIES["gcj02_to_wgs84_all"](spark, sf).collect()}
+    got = {r["c_custkey"]: r for r in catalogue.QUERIES["gcj02_to_wgs84"](spark, sf).collect()}
     points = {r["c_custkey"]: (r["lng"], r["lat"]) for r in catalogue._points(spark, sf).collect()}
     assert set(got) == set(points)
 
@@ -53,12 +53,12 @@ def test_inverse_takes_every_customer(spark):
 
 
 def test_fallback_finds_every_province(spark):
-    got, want = both(spark, "fallback_join_muni_all")
+    got, want = both(spark, "fallback_join_muni")
     assert got == [tuple(float(x) if hasattr(x, "as_tuple") else x for x in r) for r in want]
-    rows = [r for r in catalogue.fallback_join_muni_all(spark, SF).collect() if r["c_custkey"] % 3]
+    rows = [r for r in catalogue.fallback_join_muni(spark, SF).collect() if r["c_custkey"] % 3]
     assert {r["acc_2014"] for r in rows if r["city"] == "r11"} == {22.0} and {r["acc_2014"] for r in rows if r["city"] == "none"} == {None}
 
 
 def test_union_takes_every_year(spark):
-    got, want = both(spark, "union_years_all")
+    got, want = both(spark, "union_years")
     assert got == want and len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
