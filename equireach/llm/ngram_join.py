@@ -11,7 +11,7 @@ discarded. What keeps the product sparse:
 * Across stars the product is taken over prefixes first. Shingles have one order, rare before frequent; two alike sets
   share one of their first n - ceil(t n) + 1. Shingles that only one star has there are dropped; counts over the others
   are accumulated, and pairs that cannot reach the needed overlap dropped. For the pairs left the product over all
-  n-grams decides. Centres go first: stars that they link need no pairs between their other sets.
+  n-grams decides. Centres of large stars go first: stars that they link need no pairs between their other sets.
 
 Pairs that are linked by others need not be formed, so a group of copies costs as its size, not its square. Grouping
 and the order of shingles, which comes from a table of counts of fixed size over all documents, decide the speed only.
@@ -414,8 +414,8 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     stars = scratch.table(of.groupBy("rep").agg(F.min("star").alias("star")).join(parts_of.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "star", F.coalesce("component", "rep").alias("part_of")), "stars")
 
     prefix = F.sum(F.floor((100 - percent) * F.col("n") / 100) + 1).alias("entries")
-    # centres of stars first
-    heads = compared.select(F.col("centre").alias("rep"), F.col("n_centre").alias("n")).distinct()
+    # centres of large stars first: those whose sets would make many pairs
+    heads = compared.groupBy(F.col("centre").alias("rep")).agg(F.count(F.lit(1)).alias("sets"), F.max("n_centre").alias("n")).where(F.col("sets") >= BLOCK)
     n_heads = heads.agg(prefix).first()["entries"]
     if n_heads:
         own = maybe_among(texts, "doc_id", heads, "rep", "head").where("head").drop("head").join(stars, F.col("doc_id") == F.col("rep")).where("doc_id = star").drop("rep")

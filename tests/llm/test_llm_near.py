@@ -83,8 +83,10 @@ def test_join_with_small_blocks_and_one_vote(spark, monkeypatch):
     monkeypatch.setattr(common, "MOST_HOT", 20)
     r = random.Random(9)
     base = [f"v{i}" for i in range(60)]
+    calls, real = [], ngram_join._cross_links
+    monkeypatch.setattr(ngram_join, "_cross_links", lambda *a: calls.append(a[-1]) or real(*a))
     rows = list(enumerate(family(r, base, 60, 4) + family(r, base[::-1], 20, 6)))
-    assert linked(spark, rows) == join_twin(rows)
+    assert linked(spark, rows) == join_twin(rows) and calls == ["head-links", "cross-links"]
 
 
 def test_join_edges(spark):
