@@ -23,10 +23,13 @@ def _dealt(df: DataFrame, order: str, buckets: int) -> DataFrame:
     which a subquery of the same plan finds."""
     if buckets <= 1:
         return df.withColumn("_bucket", F.lit(0))
-    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 20 * buckets))).alias("cuts")).scalar()
+    # a value that needs every column leaves the subquery the same shuffle as the rest of the plan, which is then done once
+    value = F.when(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)) != 0, F.col(order))
+    cuts = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 20 * buckets))).alias("cuts")).scalar()
     steps = [1 << k for k in reversed(range((buckets - 1).bit_length()))]
     place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(order), at + step).otherwise(at))
-    return df.withColumn("_cuts", cuts).withColumn("_bucket", place).drop("_cuts")
+    # never null, so that no test for null goes below the shuffle and makes it another one
+    return df.withColumn("_cuts", cuts).withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_cuts")
 
 
 def default_buckets(df: DataFrame) -> int:
