@@ -12,7 +12,7 @@ def test_entry(spark):
     assert set(catalogue.ORACLE_SQL) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["acc_stats_national", "ci_by_year", "concentration_curve", "s2_accessibility", "population_flow", "split_coef_star"])
+@pytest.mark.parametrize("name", ["acc_stats_national", "ci_by_year", "concentration_curve", "s2_accessibility", "population_flow", "split_coef_star", "acc_stats_at_levels", "bd09_to_wgs84", "yearly_files", "grid_features", "marginal_effects", "model_set"])
 def test_against_sql(spark, name):
     import duckdb
 
