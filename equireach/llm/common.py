@@ -7,7 +7,8 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,29 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of so many rows."""
+_KEPT: dict[str, tuple[Any, Any]] = {}
+
+
+def kept(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What this worker made for key, and holds from task to task: the last one of its kind."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = key, make()
+    return _KEPT[kind][1]
+
+
+def let_go(uses: Collection[str] = ()) -> None:
+    """Drops what this worker holds of kinds that its present task does not use: a worker goes from stage to stage."""
+    others = [kind for kind in _KEPT if kind not in uses]
+    for kind in others:
+        del _KEPT[kind]
+    if others:
+        trim()
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, uses: Collection[str] = ()) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows; uses: the kinds of what the task holds."""
+    let_go(uses)
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
@@ -46,6 +68,21 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, no more than BATCH_ROWS rows travel to a Python worker at once: neither side needs buffers for more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables and files that a query writes to the shared folder to cut lineage.
 
@@ -61,7 +98,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and reads it back: what follows starts from files that outlive any executor."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

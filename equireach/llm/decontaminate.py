@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equireach.llm.common import Scratch, mix64, parts, without
+from equireach.llm.common import Scratch, kept, mix64, parts, without
 from equireach.llm.shingles import WIDTH, ordered, shingle_hashes
 
 BLOCKS = 32
@@ -154,15 +154,9 @@ class Index:
                         best[item] = (s, start)
 
 
-_HELD: dict[str, Index] = {}
-
-
 def _index(key: str, sent, threshold: float) -> Index:
     """The index of a block of the benchmark; a worker makes it once and holds the last one."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Index(*sent.value, threshold)
-    return _HELD[key]
+    return kept("index", key, lambda: Index(*sent.value, threshold))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[int, Iterator[tuple[list[int], list[str]]]]:
@@ -196,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, id_col:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
             index = _index(key, sent, threshold)
-            for batch in parts(batches):
+            for batch in parts(batches, uses=("index",)):
                 out: list[list] = [[], [], [], [], []]
                 for doc_id, (words, h) in zip(batch.column(0).to_pylist(), ordered(batch.column(1).fill_null("")), strict=True):
                     for item, s, start in index.search(words, h) if len(words) else ():

@@ -76,7 +76,7 @@ def cut(docs: DataFrame, vocabulary: str, context: int, end_id: int, id_col: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part, seen = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (context + 1)
-        for batch in parts(batches):
+        for batch in parts(batches, uses=("encoder",)):
             out: list[list[int]] = [[] for _ in range(6)]
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
                 ids += end

@@ -21,15 +21,19 @@ _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Slices have half a million bytes; only a single text can be longer.
+MOST_POWERS = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept for the longest slice so far."""
+    """base**0 .. base**n modulo 2**64; the first MOST_POWERS are kept, those of a longer slice made anew."""
     held = _POWERS.get(base)
     if held is None or len(held) <= n:
-        held = np.full(max(n, 1 << 20) + 1, base, np.uint64)
+        held = np.full(max(n, MOST_POWERS) + 1, base, np.uint64)
         held[0] = 1
-        held = _POWERS[base] = np.multiply.accumulate(held)
+        held = np.multiply.accumulate(held)
+        if n <= MOST_POWERS:
+            _POWERS[base] = held
     return held[: n + 1]
 
 

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equireach.llm.common import kept
 from equireach.llm.tokens import CACHE_CHUNKS, SLICE_BYTES, Encoder, encoder, slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -101,15 +102,9 @@ def frequent_lengths(docs: DataFrame, vocabulary: str, id_col: str, text_col: st
     return {piece: len(enc.merge(piece)) for piece, n in seen.most_common(table_size) if n > 1}
 
 
-_HELD: dict[str, Lookup] = {}
-
-
 def _lookup(key: str, sent, vocabulary: str) -> Lookup:
     """The lookup of a query; a worker makes it once and holds the last one."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Lookup(encoder(vocabulary), sent.value)
-    return _HELD[key]
+    return kept("lookup", key, lambda: Lookup(encoder(vocabulary), sent.value))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 512, id_col: str = "doc_id", text_col: str = "text", table_docs: int = 400, table_size: int = 20_000) -> DataFrame:

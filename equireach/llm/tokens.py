@@ -12,12 +12,13 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from equireach.llm.common import kept
+
 #: Chunks that a worker remembers, about 200 bytes each; those met later are encoded each time. Frequent chunks are met early.
 CACHE_CHUNKS = 200_000
 _TIGHT = re.compile(r" \s| $")
@@ -166,10 +167,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(name: str) -> Encoder:
-    """One encoder for each vocabulary in each worker process; it lives as long as the worker."""
-    return Encoder(name)
+    """This worker's encoder, that of the vocabulary asked for last; held until a task of another kind lets go of it."""
+    return kept("encoder", name, lambda: Encoder(name))
 
 
 def slices(texts: pa.Array, size: int = 500_000):
