@@ -21,6 +21,8 @@ from equireach.llm.common import Scratch, parts
 from equireach.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
+#: Chunks that a worker remembers and bytes of text that it encodes at once, fewer than elsewhere: 60 MB less of a worker for a quarter more time.
+CACHED, SLICE = 100_000, 1_000_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -75,10 +77,10 @@ def cut(docs: DataFrame, vocabulary: str, context: int, end_id: int, id_col: str
     """PIECES of every document: whole contexts first, then the rest. nth counts pieces of a length within a task."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part, seen = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (context + 1)
+        enc, end, part, seen = encoder(vocabulary, CACHED), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), [0] * (context + 1)
         for batch in parts(batches, uses=("encoder",)):
             out: list[list[int]] = [[] for _ in range(6)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1), SLICE), strict=True):
                 ids += end
                 n = len(ids) >> 2
                 for start in range(0, n, context):

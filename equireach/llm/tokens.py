@@ -146,13 +146,13 @@ class Encoder:
         offsets = lists.offsets.to_numpy()
         return slow.to_numpy(zero_copy_only=False), offsets - offsets[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
 
-    def encode_many(self, texts: pa.Array) -> list[bytes]:
-        """encode() of each text of an array: each distinct chunk of a slice is looked up once."""
+    def encode_many(self, texts: pa.Array, size: int | None = None) -> list[bytes]:
+        """encode() of each text of an array: each distinct chunk of a slice of `size` bytes is looked up once."""
         texts = texts.fill_null("")
         if not self.fast:
             return [self.encode(x) for x in texts.to_pylist()]
         out: list[bytes] = []
-        for part in slices(texts, SLICE_BYTES):
+        for part in slices(texts, size or SLICE_BYTES):
             slow, starts, distinct, index = self.chunks(part)
             ids = pa.array(list(map(self._later.__getitem__, distinct)), pa.binary()).take(pa.array(index))
             ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
@@ -167,9 +167,9 @@ class Encoder:
         return out
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, cache_chunks: int = CACHE_CHUNKS) -> Encoder:
     """This worker's encoder, that of the vocabulary asked for last; held until a task of another kind lets go of it."""
-    return kept("encoder", name, lambda: Encoder(name))
+    return kept("encoder", (name, cache_chunks), lambda: Encoder(name, cache_chunks))
 
 
 def slices(texts: pa.Array, size: int = 500_000):
