@@ -21,7 +21,7 @@ from equireach.llm.common import Scratch, parts
 from equireach.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
-#: Chunks that a worker remembers and bytes of text that it encodes at once, fewer than elsewhere: 60 MB less of a worker for a quarter more time.
+#: Chunks that a worker remembers and bytes of text that it encodes at once, fewer than elsewhere: some 60 MB less of a worker, measured alone, for a quarter to a half more time.
 CACHED, SLICE = 100_000, 1_000_000
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
