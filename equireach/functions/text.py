@@ -45,6 +45,23 @@ def excludes_zero(low: Column, high: Column) -> Column:
     return F.coalesce((low > 0) | (high < 0), F.lit(False))
 
 
+def _whole_digits(size: Column) -> Column:
+    """Every digit of a whole double of 2^53 or more: a part below 10^18, then times 8 as often as it was divided, in limbs of 18 digits."""
+    base = 10**18
+    times = F.greatest(F.floor((F.log2(size) - 54) / 3), F.lit(0)).cast("int")
+    first = F.concat(F.array((size / F.pow(F.lit(8.0), times)).cast("bigint")), F.array_repeat(F.lit(0).cast("bigint"), 17))
+
+    def eightfold(limbs: Column, _) -> Column:
+        more = F.transform(limbs, lambda x: x * 8)
+        return F.transform(more, lambda x, i: x % base + F.when(i > 0, ((F.get(more, i - 1) - F.get(more, i - 1) % base) / base).cast("bigint")).otherwise(0))
+
+    limbs = F.aggregate(F.array_repeat(F.lit(0), times), first, eightfold)
+    return F.regexp_replace(F.concat_ws("", F.reverse(F.transform(limbs, lambda x: F.lpad(x.cast("string"), 18, "0")))), "^0+", "")
+
+
 def ten_thousands(c: Column) -> Column:
-    """An axis label: value in units of ten thousand, no decimals."""
-    return F.format_string("%.0f", c.cast("double") / 10000)
+    """An axis label: value in units of ten thousand, no decimals, every digit, halves to even; nan, inf, null for null."""
+    v = F.rint(c.cast("double") / 10000)
+    size, sign = F.abs(v), F.when(v < 0, "-").otherwise("")
+    label = F.when(size < 2**53, F.format_string("%.0f", v)).when(F.isnan(v), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf")))
+    return label.when(v.isNotNull(), F.concat(sign, _whole_digits(size)))
