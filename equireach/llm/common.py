@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Collection, Iterator
 from typing import Any
@@ -26,6 +27,32 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Seconds between two calls of trim_driver by Scratch, at least.
+TRIM_S = 10
+_trimmed = {"at": float("-inf")}
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Gives memory of finished queries back on the driver: garbage of its JVM, with the shuffle files and broadcasts that
+    go with it, what the JVM's C library holds freed, and the same in this process."""
+    trim()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    lang, management = jvm.java.lang, jvm.javax.management
+
+    def array(kind: Any, *items: Any) -> Any:
+        out = gateway.new_array(kind, len(items))
+        for i, item in enumerate(items):
+            out[i] = item
+        return out
+
+    lang.System.gc()
+    with contextlib.suppress(Exception):  # not every JVM has this command
+        invoke = next(m for m in lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", array(lang.Object, array(lang.String)), array(lang.String, "[Ljava.lang.String;")
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, *given))
+    _trimmed["at"] = time.monotonic()
+
+
 _KEPT: dict[str, tuple[Any, Any]] = {}
 
 
@@ -100,6 +127,8 @@ class Scratch:
         """Writes df once and reads it back: what follows starts from files that outlive any executor."""
         with small_batches(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
+        if time.monotonic() - _trimmed["at"] >= TRIM_S:
+            trim_driver(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -1,5 +1,7 @@
+import gc
+
 import corpus_pipeline
-from equireach.llm import decontaminate, exact_dedup, language, ngram_join
+from equireach.llm import common, decontaminate, exact_dedup, language, ngram_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,15 @@ def test_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_written_tables_free_the_drivers_memory(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    thing = jvm.java.util.ArrayList()
+    jvm.java.lang.System.gc()  # from now on only a full collection takes it
+    left = jvm.java.lang.ref.WeakReference(thing)
+    del thing
+    gc.collect()
+    monkeypatch.setitem(common._trimmed, "at", float("-inf"))
+    out = common.Scratch(spark, "trim").table(spark.range(3), "rows")
+    assert left.get() is None and out.count() == 3
